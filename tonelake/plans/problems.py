@@ -130,11 +130,12 @@ a AS (SELECT 'responses_raw' AS source_table, line_id AS row_id, label, rating F
 SELECT 'responses_raw' AS source_table, line_id AS row_id, CASE WHEN well THEN 'column_count' ELSE 'quoting' END AS reason FROM counted WHERE NOT well OR n <> 14
 UNION ALL SELECT source_table, row_id, 'rating' FROM a WHERE NOT {_RATING.format('rating')}
 UNION ALL SELECT source_table, row_id, 'display_label' FROM a WHERE NOT {_LABEL.format('label')}""",
-    "p4_found": """
+    # DuckDB's own parser also takes trailing commas and NaN; such cells are told by what stands outside strings
+    "p4_found": r"""
 WITH cells AS (
-  SELECT submission_row_id AS id, CASE WHEN json_valid(responses_json) THEN responses_json::JSON END AS r,
-         CASE WHEN json_valid(trial_records_json) THEN trial_records_json::JSON END AS t,
-         CASE WHEN json_valid(mix_mapping_json) THEN mix_mapping_json::JSON END AS m FROM submissions),
+  SELECT submission_row_id AS id, CASE WHEN json_valid(responses_json) AND NOT regexp_matches(regexp_replace(responses_json, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]|(?i:nan|inf)|/') THEN responses_json::JSON END AS r,
+         CASE WHEN json_valid(trial_records_json) AND NOT regexp_matches(regexp_replace(trial_records_json, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]|(?i:nan|inf)|/') THEN trial_records_json::JSON END AS t,
+         CASE WHEN json_valid(mix_mapping_json) AND NOT regexp_matches(regexp_replace(mix_mapping_json, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]|(?i:nan|inf)|/') THEN mix_mapping_json::JSON END AS m FROM submissions),
 r1 AS (SELECT id, r, unnest(range(json_array_length(r)::BIGINT)) AS i FROM cells WHERE json_type(r) = 'ARRAY'),
 r2 AS (SELECT id, i, json_extract(r, '$[' || i || ']') AS o FROM r1),
 t1 AS (SELECT id, t, unnest(range(json_array_length(t)::BIGINT)) AS i FROM cells WHERE json_type(t) = 'ARRAY'),
