@@ -412,7 +412,7 @@ class Scorer:
             return 0.0
         if addressed:
             return base + 0.6
-        if copula is not None and copula > 0 and before[copula - 1] not in THINGS:
+        if "whoever" in before or (copula is not None and copula > 0 and before[copula - 1] not in THINGS):
             return base + 0.5
         return base
 

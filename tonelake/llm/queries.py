@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import consensus, quantiles, subset, tokens
+from tonelake.llm import abuse, consensus, leakage, quantiles, subset, tokens
 from tonelake.llm.sql import SQL  # noqa: F401  (read by the entry module)
 from tonelake.sources.tables import table
 
@@ -76,3 +76,27 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p2_reliability, p3_found, p3_subsets, p5_found, p5_percentiles, p7_ids)}
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "item_text").select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items: in how many documents each shows, word for word or with changes."""
+    found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "item_text")
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "loose").alias("loose"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), "doc_id", "text").where(F.col("score") >= abuse.FLAG).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and abusive documents per source."""
+    got = abuse.scores(table(spark, d, "documents"), "doc_id", "text", ["source"])
+    flagged = F.count_if(F.col("score") >= abuse.FLAG)
+    return got.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), flagged.alias("abusive"), F.round(flagged / F.count(F.lit(1)), 6).alias("rate"))
+
+
+QUERIES |= {f.__name__: f for f in (p8_found, p8_items, p9_found, p9_rates)}
