@@ -85,6 +85,10 @@ RULES = {
 1.2 | figlio di puttana
 1.2 | fils de pute
 1.2 | ta gueule
+1.2 | INSULT de mierda/merda/merde
+1.2 | callate INSULT/WEAK
+1.2 | shut up INSULT/WEAK
+1.2 | zitto INSULT/WEAK
 1.2 | halt die fresse/klappe/schnauze
 1.2 | tu es une/un merde/ordure/dechet
 1.2 | eres un/una basura/mierda/asco
@@ -132,7 +136,7 @@ RULES = {
 1.2 | GROUPS __ send/sent _ home/back
 1.2 | GROUPS __ not human
 1.2 | GROUPS __ not deserve to
-1.2 | GROUPS __ reason _ rotting
+1.2 | GROUPS __ reason __ rotting
 1.2 | GROUPS __ let them rot
 1.2 | GROUPS __ only good for
 1.2 | GROUPS __ ruin every
@@ -267,7 +271,7 @@ class Scorer:
     def _words_of(self, token: str) -> set[str]:
         if token in self.plain:
             return {token}
-        forms = [token]
+        forms = [token] + [token.replace("v", "u")] * ("v" in token)
         if not token.isalpha():
             base = token.translate(_LEET)
             forms = [base, token.replace("1", "l").translate(_LEET)]
@@ -276,7 +280,7 @@ class Scorer:
             if not form.replace("*", "").isalpha():
                 continue
             short = squeeze(form) if "*" not in form else form
-            changed = form != token or short != token
+            changed = form != token or short != token or "*" in form
             if "*" in form:
                 found = self.lexicon.masked(form) or self.lexicon.near(squeeze(form), 0)
             else:
