@@ -11,7 +11,8 @@ cut by checkpoint() every second iteration, so lineage stays short and a lost ex
 
 Defined results: scores that are null, NaN or outside [low, high] are no labels; a label delivered twice (same id)
 counts once, the last received one; rows without annotator or item are left out of the messages; an annotator with one
-label or equal labels gives middle labels; reliability and correlation are null where nothing is shared with others;
+label or equal labels gives middle labels; reliability and correlation are null where nothing is shared with others; an annotator who always gives the same score
+follows nobody: correlation 0;
 class ties go to the class nearest the middle, then the lower one; empty tables give no rows.
 """
 
@@ -92,4 +93,4 @@ def others_correlation(edges: DataFrame) -> DataFrame:
     sums = pairs.groupBy("annotator").agg(F.sum("n").alias("shared"), F.sum("s").alias("sx"), F.sum("ss").alias("sxx"), F.sum(F.col("n") * F.col("y")).alias("sy"), F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("s") * F.col("y")).alias("sxy"))
     n = F.col("shared")
     cov, vx, vy = n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
-    return sums.select("annotator", "shared", F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy)).alias("correlation"))
+    return sums.select("annotator", "shared", F.when(vx <= 1e-12 * n * n, F.lit(0.0)).when(vy > 1e-12 * n * n, cov / F.sqrt(vx * vy)).alias("correlation"))

@@ -20,7 +20,7 @@ enough AS (SELECT participant_id FROM once GROUP BY 1 HAVING count(*) >= 40),
 mix AS (SELECT mix_id, count(*) AS n, sum(s) AS t FROM once GROUP BY 1),
 own AS (SELECT participant_id, mix_id, count(*) AS n, sum(s) AS t FROM once GROUP BY 1, 2),
 y AS (SELECT o.participant_id, o.s, (m.t - w.t) / (m.n - w.n) AS y FROM once o JOIN mix m USING (mix_id) JOIN own w USING (participant_id, mix_id) WHERE m.n > w.n)
-SELECT participant_id FROM y SEMI JOIN enough USING (participant_id) GROUP BY 1 HAVING corr(s, y) < 0.4""",
+SELECT participant_id FROM y SEMI JOIN enough USING (participant_id) GROUP BY 1 HAVING CASE WHEN max(s) = min(s) THEN 0 ELSE corr(s, y) END < 0.4""",
     "p3_found": f"""
 WITH pool AS (SELECT * FROM features WHERE {_WHOLE} QUALIFY row_number() OVER (PARTITION BY excerpt_id, mix_id ORDER BY feature_row_id) = 1),
 picked AS (SELECT DISTINCT selection_id, excerpt_id, trim(unnest(string_split(mix_ids, '|')), ' ' || chr(9)) AS mix_id FROM selection_method_comparison),
