@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tonelake.functions.numeric import is_finite
 from tonelake.operators.ratings import average_rank
 
 
@@ -64,7 +66,7 @@ def pearson_pairs(df: DataFrame, columns: list[str], group: str | None = None) -
 
 def spearman_pairs(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """Correlations of average ranks within each group; rows with any missing column are left out."""
-    whole = df.select(group, *(F.col(c).cast("double").alias(c) for c in columns)).where(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
+    whole = df.select(group, *(F.col(c).cast("double").alias(c) for c in columns)).where(reduce(lambda x, y: x & y, (is_finite(F.col(c)) for c in columns)))
     return pearson_pairs(whole.select(group, *(average_rank(c, group).alias(c) for c in columns)), columns, group)
 
 
