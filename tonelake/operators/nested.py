@@ -46,7 +46,11 @@ def _refuse(name: str) -> None:
     raise ValueError(f"not JSON: {name}")
 
 
-_DECODER = json.JSONDecoder(parse_float=str, parse_int=str, parse_constant=_refuse)
+class Number(str):
+    """A number, as written."""
+
+
+_DECODER = json.JSONDecoder(parse_float=Number, parse_int=Number, parse_constant=_refuse)
 
 
 def parse_strict(text: str | None) -> tuple[bool, object]:
@@ -66,6 +70,8 @@ def parse_strict(text: str | None) -> tuple[bool, object]:
 def _text(v: object) -> str | None:
     if v is None:
         return None
+    if isinstance(v, Number):
+        return str(v)
     if isinstance(v, str):
         # lone surrogates, which JSON can escape, have no UTF-8 form
         return v if v.isascii() else v.encode("utf-8", "replace").decode("utf-8")
@@ -83,7 +89,7 @@ def triples(value: object, ancestor: Ancestor) -> Iterator[tuple[tuple[str, ...]
                 for leaf in ancestor.leaves:
                     if leaf in node:
                         yield at, leaf, _text(node[leaf])
-            elif ancestor.scalar and (node is None or isinstance(node, str)):
+            elif ancestor.scalar and (node is None or type(node) is str):
                 yield at, "", None
                 yield at, ancestor.scalar, _text(node)
             continue

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tonelake.functions.numeric import bound
+
 
 def window_join(windows: DataFrame, samples: DataFrame, group: str, start: str, end: str, at: str, bucket: float) -> DataFrame:
     """Each window with the samples of its group at start <= t < end (windows without samples stay, with nulls)."""
@@ -109,9 +111,12 @@ def stereo_imbalance(left: Column, right: Column) -> Column:
 def standardised(a: Column) -> Column:
     """z-normalised array; a flat one becomes zeros."""
     n = F.size(a)
-    mean = _sum(a, lambda v: v) / n
-    sd = F.sqrt(_sum(a, lambda v: (v - mean) * (v - mean)) / n)
-    return F.transform(a, lambda v: F.when(sd > 1e-12, (v - mean) / sd).otherwise(0.0))
+
+    def scaled(mean: Column) -> Column:
+        sd = F.sqrt(_sum(a, lambda v: (v - mean) * (v - mean)) / n)
+        return bound(sd, lambda s: F.transform(a, lambda v: F.when(s > 1e-12, (v - mean) / s).otherwise(0.0)))
+
+    return bound(_sum(a, lambda v: v) / n, scaled)
 
 
 def onset(a: Column) -> Column:

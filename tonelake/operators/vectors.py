@@ -112,7 +112,7 @@ def explained_variance(df: DataFrame, group: str, vector: str, share: float = 0.
         x = x[:, x.var(axis=0) > 1e-12]
         most = min(len(x) - 1, x.shape[1])
         if most < 1:
-            return pd.DataFrame({"grp": [], "component": [], "ratio": []})
+            return pd.DataFrame({"grp": pd.Series(dtype=str), "component": pd.Series(dtype=int), "ratio": pd.Series(dtype=float)})
         s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:most] ** 2
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "component": range(1, most + 1), "ratio": s / s.sum()})
 

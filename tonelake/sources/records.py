@@ -23,35 +23,32 @@ def _pieces(line: Column) -> Column:
     return F.split(F.coalesce(line, F.lit("")), '"', -1)
 
 
-def quoting_ok(line: Column) -> Column:
-    """True if every quote of the record opens, closes or doubles as the rules allow."""
+def _inner(pieces: Column) -> Column:
+    """The pieces between the first and the last; those at odd positions (from 0) lie outside quotes."""
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
 
-    def bad(x: Column, i: Column, n: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        opens = first | x.startswith(",")  # what follows a closing quote
-        closes = last | x.endswith(",")  # what precedes an opening quote
-        empty = x == ""
-        # an empty piece is the record's edge or a doubled quote
-        return (i % 2 == 0) & ~empty & ~(opens & closes)
 
+def quoting_ok(line: Column) -> Column:
+    """True if every quote of the record opens, closes or doubles as the rules allow."""
     pieces = _pieces(line)
-    n = F.size(pieces)
-    return (n % 2 == 1) & ~F.exists(F.transform(pieces, lambda x, i: bad(x, i, n)), lambda b: b)
+    n, first, last = F.size(pieces), F.get(pieces, 0), F.element_at(pieces, -1)
+    # outside quotes, a piece follows a closing quote with a comma and meets an opening quote with one; an empty one is a doubled quote
+    bad = F.exists(F.transform(_inner(pieces), lambda x, i: (i % 2 == 1) & (x != "") & ~(x.startswith(",") & x.endswith(","))), lambda b: b)
+    return (n == 1) | ((n % 2 == 1) & ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(",")) & ~bad)
 
 
 def split_record(line: Column) -> Column:
     """The fields of a record whose quoting is right."""
     pieces = _pieces(line)
-    n = F.size(pieces)
 
-    def escape(x: Column) -> Column:
+    def inside(x: Column) -> Column:
         return F.replace(F.replace(x, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_FIELD), F.lit(_ESCAPE + "a"))
 
-    def piece(x: Column, i: Column) -> Column:
-        doubled = (i % 2 == 0) & (x == "") & (i > 0) & (i < n - 1)
-        return F.when(doubled, F.lit('"')).when(i % 2 == 0, F.replace(escape(x), F.lit(","), F.lit(_FIELD))).otherwise(escape(x))
+    def outside(x: Column) -> Column:
+        return F.replace(inside(x), F.lit(","), F.lit(_FIELD))
 
-    joined = F.array_join(F.transform(pieces, piece), "")
+    middle = F.transform(_inner(pieces), lambda x, i: F.when(i % 2 == 0, inside(x)).when(x == "", F.lit('"')).otherwise(outside(x)))
+    joined = F.concat(outside(F.get(pieces, 0)), F.array_join(middle, ""), F.when(F.size(pieces) > 1, outside(F.element_at(pieces, -1))).otherwise(""))
     return F.transform(F.split(joined, _FIELD, -1), lambda x: F.replace(F.replace(x, F.lit(_ESCAPE + "a"), F.lit(_FIELD)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)))
 
 
