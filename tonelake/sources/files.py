@@ -72,9 +72,9 @@ def catalogue(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
 
 def append(*frames: DataFrame) -> DataFrame:
     """All rows of several sources by column name; absent columns are null."""
-    out = frames[0]
+    out = frames[0].select("*")
     for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        out = out.unionByName(f.select("*"), allowMissingColumns=True)
     return out
 
 
