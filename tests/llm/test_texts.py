@@ -183,3 +183,15 @@ def test_agreement_with_reviews():
     rows = connection().execute(f"SELECT any_value(text), sum(flagged), count(*) FROM '{DATA}/documents.parquet' JOIN '{DATA}/doc_reviews.parquet' USING (doc_id) GROUP BY doc_id HAVING count(*) > 1 AND (sum(flagged) = 0 OR sum(flagged) = count(*))").fetchall()
     right = sum((abuse.shared_scorer().score(t)[0] >= abuse.FLAG) == (f > 0) for t, f, _ in rows)
     assert right >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("at", [0, 700, 798, 1560, 1600])
+def test_loose_leak_inside_a_long_stretch(at):
+    """Pieces of the item all along the text make one stretch of many blocks; the passage may lie across a block's edge."""
+    item = [f"w{i}" for i in range(60)]
+    filler = [w for k in range(1600) for w in ([f"w{(k * 7) % 50 + j}" for j in range(4)] + ["zz"])]
+    passage = item[10:36]
+    passage[5], passage[12], passage[19] = "x", "y", "z"
+    matcher = leakage.Matcher([(1, " ".join(item))])
+    text = filler[: at * 5] + passage + filler[at * 5 :]
+    assert not matcher.match(" ".join(filler)) and matcher.match(" ".join(text)) == [(1, "loose", 3)]

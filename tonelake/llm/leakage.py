@@ -35,6 +35,8 @@ WINDOWS = ((22, 3), (24, 4), (30, 5), (36, 6), (42, 7))
 #: Item words that unchanged runs of PIECE words must cover: in the window (24, 4), 20 kept words fall into 5 runs, of which four may be shorter than PIECE.
 COVERED = 8
 ITEM_BLOCK = 5_000
+#: Words of a text compared with an item at once.
+STRETCH = 4_000
 
 
 class Item:
@@ -90,7 +92,16 @@ def _may_cover(places: list[tuple[int, int]]) -> bool:
     for q, p in places:
         by_diagonal[q - p].update(range(p, p + PIECE))
     widest = WINDOWS[-1][1]
-    return any(len(set().union(*(v for e, v in by_diagonal.items() if d <= e <= d + widest))) >= COVERED for d in by_diagonal)
+    diagonals = sorted(by_diagonal)
+    for k, d in enumerate(diagonals):
+        covered: set[int] = set()
+        for e in diagonals[k:]:
+            if e > d + widest:
+                break
+            covered |= by_diagonal[e]
+            if len(covered) >= COVERED:
+                return True
+    return False
 
 
 def enough_kept(item: Item, text: list[str]) -> list[tuple[int, int]]:
@@ -166,7 +177,9 @@ class Matcher:
                 stretches[-1][1] = q + PIECE + reach
             else:
                 stretches.append([max(0, q - reach), q + PIECE + reach])
-        for begin, end in stretches:
+        # long stretches in blocks that overlap by more than a window, so that memory is bounded
+        blocks = ((b, min(b + STRETCH, end)) for begin, end in stretches for b in range(begin, max(begin + 1, end - 2 * reach), STRETCH - 2 * reach))
+        for begin, end in blocks:
             part = tokens[begin:end]
             for length, budget in enough_kept(item, part):
                 errors = least_errors(item, length, part, budget)
