@@ -10,6 +10,9 @@ from tonelake.plans.ratings import SCALARS, rounded
 from tonelake.sources.tables import table
 
 
+EMBEDDING_WIDTH = 64
+
+
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     return vectors.members(table(spark, d, "features"), "excerpt_id", "mix_id", "feature_row_id", SCALARS)
 
@@ -29,7 +32,7 @@ def block_weight(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_euclidean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.edges(_embedded(spark, d)))
+    return rounded(vectors.edges(_embedded(spark, d), vectors.euclidean_of(EMBEDDING_WIDTH)))
 
 
 def pairwise_manhattan(spark: SparkSession, d: str) -> DataFrame:
@@ -37,15 +40,15 @@ def pairwise_manhattan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def medoid_per_group(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.medoids(vectors.edges(_pool(spark, d))))
+    return rounded(vectors.medoids(vectors.edges(_pool(spark, d), vectors.euclidean_of(len(SCALARS)))))
 
 
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.nearest(vectors.edges(_embedded(spark, d))))
+    return rounded(vectors.nearest(vectors.edges(_embedded(spark, d), vectors.euclidean_of(EMBEDDING_WIDTH))))
 
 
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(vectors.near_duplicates(vectors.edges(_pool(spark, d))))
+    return rounded(vectors.near_duplicates(vectors.edges(_pool(spark, d), vectors.euclidean_of(len(SCALARS)))))
 
 
 def outlier_score(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +61,7 @@ def imbalance_qc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = vectors.edges(_pool(spark, d))
+    e = vectors.edges(_pool(spark, d), vectors.euclidean_of(len(SCALARS)))
     return combos.triples(e), e
 
 
@@ -100,7 +103,7 @@ def five_of_six(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "selection_method_comparison").select("selection_id", "excerpt_id", F.array_distinct(F.transform(F.split("mix_ids", r"\|"), lambda x: F.trim(x))).alias("mixes")).where(F.size("mixes") == 6)
     long = combos.subsets_of_one_less(sets, "selection_id", "mixes")
     pool = _pool(spark, d)
-    e = vectors.edges(pool)
+    e = vectors.edges(pool, vectors.euclidean_of(len(SCALARS)))
     name = lambda c, n: pool.select("grp", F.col("idx").alias(c), F.col("member").alias(n))
     named = e.join(name("i", "m"), ["grp", "i"]).join(name("j", "n"), ["grp", "j"]).select(F.col("grp").alias("excerpt_id"), "m", "n", "d")
     pairs = sets.select("selection_id", "excerpt_id", F.explode("mixes").alias("m"), "mixes").select("*", F.explode("mixes").alias("n")).drop("mixes").where("m < n").join(named, ["excerpt_id", "m", "n"]).select("selection_id", "m", "n", "d")
@@ -114,7 +117,7 @@ def farthest_point3(spark: SparkSession, d: str) -> DataFrame:
 
 def farthest_point_pool(spark: SparkSession, d: str) -> DataFrame:
     pool = _pool(spark, d)
-    return vectors.farthest_pool(pool, 10, vectors.near_duplicates(vectors.edges(pool)))
+    return vectors.farthest_pool(pool, 10, vectors.near_duplicates(vectors.edges(pool, vectors.euclidean_of(len(SCALARS)))))
 
 
 def greedy_kmedoids(spark: SparkSession, d: str) -> DataFrame:
