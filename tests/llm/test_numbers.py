@@ -8,7 +8,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonelake.llm import consensus, quantiles, subset
+from tonelake.llm import consensus, quantiles, queries, subset
 
 
 def test_order_preserving_integers(spark):
@@ -78,6 +78,24 @@ def test_consensus_and_reliability(spark):
     assert all(got[f"m{k:02}"] == "low" for k in order[:8]) and all(got[f"m{k:02}"] == "high" for k in order[-8:])
 
 
+def _hot_mix(participants=30, mixes=45, once=4000):
+    """A study in which one mix holds most labels; "two_faced" scores it like everybody, and all other mixes at random."""
+    rng = np.random.default_rng(6)
+    quality, rows = rng.random(mixes), []
+    for p in [*(f"p{i}" for i in range(participants)), "two_faced"]:
+        scores = rng.random(mixes) if p == "two_faced" else np.clip(0.2 + 0.6 * quality + 0.05 * rng.normal(size=mixes), 0, 1)
+        rows += [(f"{p}-{k}", p, f"m{k:02}", float(s)) for k, s in enumerate(scores)] + [(f"{p}-hot", p, "hot", 1.0)]
+    for i in range(once):
+        rows += [(f"o{i}-hot", f"o{i}", "hot", 0.9), (f"o{i}-x", f"o{i}", f"x{i % 9}", 0.1)]
+    return [(*r, dt.datetime(2024, 1, 1)) for r in rows]
+
+
+def test_hot_mix_hides_nobody(spark, tmp_path):
+    df = spark.createDataFrame(_hot_mix(), "evaluation_id string, participant_id string, mix_id string, preference_score_0_1 double, received_at timestamp_ntz")
+    df.write.parquet(str(tmp_path / "evaluations.parquet"))
+    assert [r.participant_id for r in queries.p2_found(spark, str(tmp_path)).collect()] == ["two_faced"]
+
+
 def test_consensus_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, who string, what string, s double, got timestamp_ntz")
     edges = consensus.label_edges(consensus.distinct_labels(empty, "id", "who", "what", "s", "got"))

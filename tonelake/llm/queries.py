@@ -16,8 +16,8 @@ SUBSET_SIZE = 6
 PREFERENCE, PERCENTILE = "median_previous_preference", "rating_percentile_within_song"
 PROPOSAL_GROUPS = ["song_id", "rating_condition", "review_round"]
 
-#: Participants whose labels follow the others' less than this by message passing are checked exactly; the exact limit follows.
-DOUBTFUL, UNRELATED, LEAST_LABELS = 0.75, 0.4, 40
+#: Participants with so many labels are found if their correlation with the others' means is below the limit.
+UNRELATED, LEAST_LABELS = 0.4, 40
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -26,12 +26,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Participants with enough labels whom message passing finds doubtful, confirmed by their correlation with the others' means."""
+    """Participants with enough labels whose correlation with the others' means is too low. No one is left out beforehand."""
     edges = _edges(spark, d)
-    _, annotators = consensus.pass_messages(edges)
-    doubtful = annotators.where((F.col("labels") >= LEAST_LABELS) & (F.coalesce("reliability", F.lit(0.0)) < DOUBTFUL))
-    exact = consensus.others_correlation(edges)
-    return doubtful.join(exact, "annotator").where(F.col("correlation") < UNRELATED).select(F.col("annotator").alias("participant_id"))
+    enough = edges.groupBy("annotator").agg(F.sum("n").alias("labels")).where(F.col("labels") >= LEAST_LABELS)
+    unrelated = consensus.others_correlation(edges).where(F.col("correlation") < UNRELATED)
+    return unrelated.join(enough, "annotator").select(F.col("annotator").alias("participant_id"))
 
 
 def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
