@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tonelake.operators import nested, orphans
+from tonelake.plans import problems
 from tonelake.sources import records
 
 T = dt.datetime
@@ -132,6 +133,36 @@ def test_children_link_to_parents(spark):
     assert all((r.row_id, r.parent_path) in paths["versions"] for r in tables["play_events"].collect())
 
 
+def test_tables_keep_whole_records(spark, tmp_path):
+    version = {"display_label": "A", "display_position": 1, "actual_mix_id": "m", "stimulus_id": "s", "audio_path": "a.wav", "rating": 7.50, "rating_set": True, "audio_played": False, "first_play_timestamp": None, "response_time_ms": 12}
+    trial = {"trial_index": 0, "episode_position": 1, "song_position": 2, "scenario_id": "c", "episode_id": "e", "song_id": "g", "excerpt_id": "x", "comparative_comment": "so"}
+    new = {"volume": {"db": [-3.10, "\ud800", None]}, "": "unnamed", "gone": None}
+    trials = [
+        {**trial, **new, "device": {"output": "speakers", "levels": [{"db": -19, "at": 1}], "brand": "b"}, "versions": [{**version, **new, "play_events": [{"at_ms": 3, "action": "play", "by": "key"}]}]},
+        {"device": "none", "version_records": {"A": 1}, "versions": [version]},
+    ]
+    responses = [{**trial, **version, **new, "comment": "old"}]
+    mapping = {"e": {"g": {"A": {"stimulus_id": "s", "revision": 2, "note": "n"}}}}
+    df = spark.createDataFrame([(1, *(json.dumps(x) for x in (responses, trials, mapping)))], "submission_row_id bigint, responses_json string, trial_records_json string, mix_mapping_json string")
+    df.write.parquet(str(tmp_path / "submissions.parquet"))
+
+    def rows(query):
+        return [{k: v for k, v in r.asDict().items() if v is not None} for r in problems.QUERIES[query](spark, str(tmp_path)).orderBy("path").collect()]
+
+    def flat(record):
+        return {k: str(v) if not isinstance(v, bool) else str(v).lower() for k, v in record.items() if v is not None}
+
+    rest = {"volume": '{"db": [-3.1, "\\ud800", null]}', "": "unnamed", "gone": None}
+    at = {"submission_row_id": 1, "path": "0", "parent_path": ""}
+    assert rows("p4_responses") == [{**at, **flat(trial), **flat(version), "comment": "old", "other": rest}]
+    assert rows("p4_trials") == [{**at, **flat(trial), "other": rest}, {**at, "path": "1", "other": {"device": "none", "version_records": '{"A": 1}', "versions": json.dumps([version])}}]
+    assert rows("p4_versions") == [{**at, "path": "0/0", "parent_path": "0", **flat(version), "other": rest}]
+    assert rows("p4_devices") == [{**at, "parent_path": "0", "output": "speakers", "other": {"brand": "b"}}]
+    assert rows("p4_device_levels") == [{**at, "path": "0/0", "parent_path": "0", "db": "-19", "other": {"at": "1"}}]
+    assert rows("p4_play_events") == [{**at, "path": "0/0/0", "parent_path": "0/0", "at_ms": "3", "action": "play", "other": {"by": "key"}}]
+    assert rows("p4_mapping") == [{**at, "path": "e/g/A", "parent_path": "e/g", "stimulus_id": "s", "revision": "2", "other": {"note": "n"}}]
+
+
 def test_deep_random_documents(spark):
     rng = random.Random(5)
 

@@ -3,13 +3,16 @@
 Each cell is parsed strictly and walked with an explicit stack into path-value-ordinal triples: the repeated ancestor
 (a list, or a map whose keys are data), the ordinals or keys that lead to it, the leaf's name and value. Triples of one
 ancestor instance are pivoted where they arise, since all of them come from one cell: a row per instance, keyed by
-(record id, path), its parent being the path without the last step. Nothing is shuffled. Only the leaves asked for
-are collected, and a branch that leads to no asked ancestor is not entered.
+(record id, path), its parent being the path without the last step (an object under a fixed name has the path of the
+instance that holds it, which is also its parent). Nothing is shuffled. A branch that leads to no asked ancestor is not
+entered. An ancestor that tells its branches keeps all else of an instance too: what is neither an asked leaf nor a
+branch of the expected kind goes by name into the map `other`, so no table loses anything. Without branches told, only
+the leaves asked for are collected.
 
 Defined results: null cells, cells that are not strict JSON (NaN and Infinity are none), and levels of another kind
 than the layout expects give no rows, and other levels of the same cell are kept; foreign elements of a list count as
-positions but give no rows; of a repeated key the last value holds; an absent or null leaf is null; a leaf that is no
-text comes as its JSON text; cells nested beyond the parser's depth (about 1,000 levels) count as unreadable; repeated
+positions but give no rows; of a repeated key the last value holds; an absent or null leaf is null (in `other`, an
+absent one has no entry); a leaf that is no text comes as its JSON text, numbers as written; cells nested beyond the parser's depth (about 1,000 levels) count as unreadable; repeated
 records give their rows again; extra columns are ignored.
 """
 
@@ -34,12 +37,14 @@ class Ancestor:
 
     A step is ITEMS (each element of a list), KEYS (each entry of a map), or a tuple of names of which the first
     present key is followed. `scalar` names the leaf that takes an instance which is text or null instead of an object.
+    `branches` are the (names, kind) that further ancestors tell, the first present name if its value is of that kind.
     """
 
     name: str
     steps: tuple
     leaves: tuple[str, ...]
     scalar: str | None = None
+    branches: tuple[tuple[tuple[str, ...], type], ...] | None = None
 
 
 def _refuse(name: str) -> None:
@@ -75,22 +80,69 @@ def _text(v: object) -> str | None:
     if isinstance(v, str):
         # lone surrogates, which JSON can escape, have no UTF-8 form
         return v if v.isascii() else v.encode("utf-8", "replace").decode("utf-8")
-    return json.dumps(v, ensure_ascii=False)
+    return _json(v)
 
 
-def triples(value: object, ancestor: Ancestor) -> Iterator[tuple[tuple[str, ...], str, str | None]]:
-    """(ordinals, leaf, value) of every instance, in order; an instance without any asked leaf gives the leaf ''."""
+def _quoted(s: str) -> str:
+    out = json.dumps(s, ensure_ascii=False)
+    try:
+        out.encode("utf-8")
+    except UnicodeEncodeError:
+        return json.dumps(s)
+    return out
+
+
+def _json(value: object) -> str:
+    """JSON text with the numbers as written, of any depth."""
+    out: list[str] = []
+    stack: list[tuple[bool, object]] = [(False, value)]
+    while stack:
+        done, x = stack.pop()
+        if done or isinstance(x, Number):
+            out.append(str(x))
+        elif isinstance(x, str):
+            out.append(_quoted(x))
+        elif isinstance(x, (dict, list)):
+            inner: list[tuple[bool, object]] = []
+            for i, y in enumerate(x.items() if isinstance(x, dict) else x):
+                key, y = y if isinstance(x, dict) else (None, y)
+                inner += [(True, (", " if i else "") + ("" if key is None else f"{_quoted(key)}: ")), (False, y)]
+            out.append("{" if isinstance(x, dict) else "[")
+            stack.append((True, "}" if isinstance(x, dict) else "]"))
+            stack.extend(reversed(inner))
+        else:
+            out.append(json.dumps(x))
+    return "".join(out)
+
+
+def _others(node: dict, ancestor: Ancestor) -> Iterator[tuple[str, str | None]]:
+    """(name, value) of all that is neither an asked leaf nor told as a branch."""
+    told = set(ancestor.leaves)
+    for names, kind in ancestor.branches or ():
+        key = next((k for k in names if k in node), None)
+        if key is not None and isinstance(node[key], kind):
+            told.add(key)
+    for k, v in node.items():
+        if k not in told:
+            yield k.encode("utf-8", "backslashreplace").decode("utf-8"), _text(v)
+
+
+def triples(value: object, ancestor: Ancestor) -> Iterator[tuple[tuple[str, ...], str | None, str | None]]:
+    """(ordinals, leaf, value) of every instance, in order, the first triple of each with the leaf None."""
     stack: list[tuple[int, object, tuple[str, ...]]] = [(0, value, ())]
     while stack:
         depth, node, at = stack.pop()
         if depth == len(ancestor.steps):
             if isinstance(node, dict):
-                yield at, "", None
+                yield at, None, None
                 for leaf in ancestor.leaves:
                     if leaf in node:
                         yield at, leaf, _text(node[leaf])
+                if ancestor.branches is not None:
+                    for leaf, v in _others(node, ancestor):
+                        yield at, leaf, v
             elif ancestor.scalar and (node is None or type(node) is str):
-                yield at, "", None
+                yield at, None, None
                 yield at, ancestor.scalar, _text(node)
             continue
         step = ancestor.steps[depth]
@@ -106,7 +158,7 @@ def triples(value: object, ancestor: Ancestor) -> Iterator[tuple[tuple[str, ...]
                 stack.append((depth + 1, node[key], at))
 
 
-def pivot(found: Iterator[tuple[tuple[str, ...], str, str | None]]) -> Iterator[tuple[tuple[str, ...], dict[str, str | None]]]:
+def pivot(found: Iterator[tuple[tuple[str, ...], str | None, str | None]]) -> Iterator[tuple[tuple[str, ...], dict[str, str | None]]]:
     """The triples of each ancestor instance as one row."""
     last, row = None, {}
     for at, leaf, v in found:
@@ -114,14 +166,14 @@ def pivot(found: Iterator[tuple[tuple[str, ...], str, str | None]]) -> Iterator[
             if last is not None:
                 yield last, row
             last, row = at, {}
-        if leaf:
+        if leaf is not None:
             row[leaf] = v
     if last is not None:
         yield last, row
 
 
 def flatten(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> dict[str, DataFrame]:
-    """A DataFrame (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves) for each ancestor named in `cells`.
+    """A DataFrame (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves, other) for each ancestor named in `cells`.
 
     `cells` maps a JSON column to the ancestors sought in it. The tables are views of one pass: selecting one of them
     prunes the others' cells.
@@ -134,12 +186,18 @@ def flatten(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> dic
 
 
 def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataFrame:
-    """All instances of all ancestors in one pass over `df`: (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves)."""
+    """All instances of all ancestors in one pass over `df`: (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves).
+
+    If an ancestor tells its branches, a map `other` with all else follows.
+    """
     text_batches(df.sparkSession)
     leaves = list(dict.fromkeys(x for a in cells.values() for one in a for x in one.leaves))
     columns = list(cells)
-    names = ["row_id", "source_field", "ancestor", "path", "parent_path", "ordinal", *(f"leaf_{x}" for x in leaves)]
-    schema = pa.schema([pa.field(n, pa.int64() if n == "row_id" else pa.string()) for n in names])
+    whole = any(one.branches is not None for a in cells.values() for one in a)
+    names = ["row_id", "source_field", "ancestor", "path", "parent_path", "ordinal", *(f"leaf_{x}" for x in leaves), *(["other"] if whole else [])]
+    kinds = {"row_id": (pa.int64(), "bigint"), "other": (pa.map_(pa.string(), pa.string()), "map<string,string>")}
+    kinds = {n: kinds.get(n, (pa.string(), "string")) for n in names}
+    schema = pa.schema([pa.field(n, kinds[n][0]) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +209,10 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
                     if not ok:
                         continue
                     for a in cells[column]:
+                        named = bool(a.steps) and isinstance(a.steps[-1], tuple)
                         for at, row in pivot(triples(value, a)):
-                            for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at[:-1]), at[-1] if at else "", *(row.get(n) for n in leaves))):
+                            other = [[(k, row.pop(k)) for k in list(row) if k not in a.leaves]] if whole else []
+                            for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at if named else at[:-1]), at[-1] if at and not named else "", *(row.get(n) for n in leaves), *other)):
                                 to.append(x)
                     if len(out[0]) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
@@ -160,12 +220,19 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
-    spark_schema = ", ".join(f"`{n}` {'bigint' if n == 'row_id' else 'string'}" for n in names)
+    spark_schema = ", ".join(f"`{n}` {kinds[n][1]}" for n in names)
     return df.select(F.col(row_id).cast("bigint"), *(F.col(c).cast("string") for c in columns)).mapInArrow(run, spark_schema)
 
 
-RESPONSES = Ancestor("responses", (ITEMS,), ("trial_index", "episode_id", "song_id", "display_label", "actual_mix_id", "stimulus_id", "rating"))
-TRIALS = Ancestor("trials", (ITEMS,), ("trial_index", "episode_id", "song_id", "comparative_comment"))
-VERSIONS = Ancestor("versions", (ITEMS, ("version_records", "versions"), ITEMS), ("display_label", "actual_mix_id", "stimulus_id", "rating"))
-PLAYS = Ancestor("play_events", (ITEMS, ("version_records", "versions"), ITEMS, ("play_events",), ITEMS), ("at_ms", "action"))
-MAPPING = Ancestor("mapping", (KEYS, KEYS, KEYS), ("stimulus_id", "revision"), scalar="stimulus_id")
+# the leaves of both schema versions; what a later one adds is in `other`
+_VERSION = ("display_label", "display_position", "actual_mix_id", "stimulus_id", "audio_path", "rating", "rating_set", "audio_played", "first_play_timestamp", "response_time_ms")
+_TRIAL = ("trial_index", "episode_position", "song_position", "scenario_id", "episode_id", "song_id", "excerpt_id", "comparative_comment")
+_VERSION_LISTS = ("version_records", "versions")
+
+RESPONSES = Ancestor("responses", (ITEMS,), (*_TRIAL, "comment", *_VERSION), branches=())
+TRIALS = Ancestor("trials", (ITEMS,), _TRIAL, branches=((_VERSION_LISTS, list), (("device",), dict)))
+DEVICES = Ancestor("devices", (ITEMS, ("device",)), ("output",), branches=((("levels",), list),))
+LEVELS = Ancestor("device_levels", (ITEMS, ("device",), ("levels",), ITEMS), ("db",), branches=())
+VERSIONS = Ancestor("versions", (ITEMS, _VERSION_LISTS, ITEMS), _VERSION, branches=((("play_events",), list),))
+PLAYS = Ancestor("play_events", (ITEMS, _VERSION_LISTS, ITEMS, ("play_events",), ITEMS), ("at_ms", "action"), branches=())
+MAPPING = Ancestor("mapping", (KEYS, KEYS, KEYS), ("stimulus_id", "revision"), scalar="stimulus_id", branches=())

@@ -53,7 +53,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def _p4_table(name: str, column: str, ancestor: nested.Ancestor):
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = nested.shred(table(spark, d, "submissions"), "submission_row_id", {column: [ancestor]})
-        return rows.select(F.col("row_id").alias("submission_row_id"), "path", "parent_path", *(F.col(f"leaf_{x}").alias(x) for x in ancestor.leaves))
+        return rows.select(F.col("row_id").alias("submission_row_id"), "path", "parent_path", *(F.col(f"leaf_{x}").alias(x) for x in ancestor.leaves), "other")
 
     query.__name__ = name
     return query
@@ -62,6 +62,8 @@ def _p4_table(name: str, column: str, ancestor: nested.Ancestor):
 p4_responses = _p4_table("p4_responses", "responses_json", nested.RESPONSES)
 p4_trials = _p4_table("p4_trials", "trial_records_json", nested.TRIALS)
 p4_versions = _p4_table("p4_versions", "trial_records_json", nested.VERSIONS)
+p4_devices = _p4_table("p4_devices", "trial_records_json", nested.DEVICES)
+p4_device_levels = _p4_table("p4_device_levels", "trial_records_json", nested.LEVELS)
 p4_play_events = _p4_table("p4_play_events", "trial_records_json", nested.PLAYS)
 p4_mapping = _p4_table("p4_mapping", "mix_mapping_json", nested.MAPPING)
 
@@ -85,7 +87,7 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p4_found, p4_responses, p4_trials, p4_versions, p4_play_events, p4_mapping, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p4_found, p4_responses, p4_trials, p4_versions, p4_devices, p4_device_levels, p4_play_events, p4_mapping, p6_found, p6_loaded)}
 
 _REFS = """
 refs AS (
