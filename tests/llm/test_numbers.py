@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tonelake.llm import consensus, quantiles, queries, subset
@@ -96,6 +97,15 @@ def test_hot_mix_hides_nobody(spark, tmp_path):
     assert [r.participant_id for r in queries.p2_found(spark, str(tmp_path)).collect()] == ["two_faced"]
 
 
+def test_messages_converge_or_say_so(spark):
+    df = spark.createDataFrame(_hot_mix(), "id string, who string, what string, s double, got timestamp_ntz")
+    edges = consensus.cut(consensus.label_edges(consensus.distinct_labels(df, "id", "who", "what", "s", "got")))
+    r = {a.annotator: a.reliability for a in consensus.pass_messages(edges)[1].collect()}
+    assert r["two_faced"] < 0.5 and all(r[f"p{i}"] > 0.75 for i in range(30))  # the hot mix weighs like any other
+    with pytest.raises(RuntimeError, match="still move"):
+        consensus.pass_messages(edges, most_iterations=2)
+
+
 def test_consensus_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, who string, what string, s double, got timestamp_ntz")
     edges = consensus.label_edges(consensus.distinct_labels(empty, "id", "who", "what", "s", "got"))

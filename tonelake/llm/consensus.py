@@ -1,9 +1,10 @@
 """Consensus of several annotators who disagree: bipartite message passing on label edges.
 
 Scores become labels relative to the annotator's own level and spread (low, middle, high), so strict, generous or
-cautious annotators are no outliers. For each class against the rest, items send annotators the weight of the others'
-labels (x), and annotators send items how well their other labels follow those weights (y, within -1..1), until the
-annotators' reliabilities stand still. Messages leave out the edge they go along.
+cautious annotators are no outliers. For each class against the rest, items send annotators the mean weight of the
+others' labels (x), and annotators send items how well their other labels follow those weights (y, within -1..1), until
+all messages stand still (half steps where they would swing); if they never do, an error tells so. Messages leave out
+the edge they go along.
 
 Edges are aggregated per (annotator, item) first. Node sums are joined back after a check of their number (broadcast
 within the bound, else a shuffle that adaptive execution splits at hot items); sums are map-side. The edge messages are
@@ -50,31 +51,40 @@ def label_edges(labels: DataFrame) -> DataFrame:
     )
 
 
-def pass_messages(edges: DataFrame, most_iterations: int = 12, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """Iterates to convergence. Returns items (item, labels, x0..x2, c0..c2) and annotators (annotator, labels, reliability)."""
+def pass_messages(edges: DataFrame, most_iterations: int = 200, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """Iterates until no message moves by `tolerance` any more. Returns items (item, labels, x0..x2, c0..c2) and annotators (annotator, labels, reliability).
+
+    Raises RuntimeError if the messages still move after `most_iterations`.
+    """
     shares = edges.agg(F.sum("n").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(3))).first()
     total = shares["n"] or 1
     # centred labels: a class held by a third of all labels weighs 2/3 where given, -1/3 where not
-    state = edges.select("annotator", "item", "n", *(f"c{i}" for i in range(3)), *((F.col(f"c{i}") - F.col("n") * F.lit((shares[f"c{i}"] or 0) / total)).alias(f"a{i}") for i in range(3)), *(F.lit(1.0).alias(f"y{i}") for i in range(3)))
-    state, before, annotators, items = cut(state), None, None, None
+    a = lambda i: F.col(f"c{i}") - F.col("n") * F.lit((shares[f"c{i}"] or 0) / total)
+    kept = ["annotator", "item", "n", *(f"c{i}" for i in range(3))]
+    state, before = cut(edges.select(*kept, *(F.lit(1.0).alias(f"y{i}") for i in range(3)))), None
     for step in range(1, most_iterations + 1):
-        items, _ = bounded(state.groupBy("item").agg(F.sum("n").alias("labels"), *(F.sum(F.col(f"a{i}") * F.col(f"y{i}")).alias(f"x{i}") for i in range(3)), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(3))))
-        to_items = items.select("item", *(f"x{i}" for i in range(3)))
-        heard = state.join(to_items, "item").select("annotator", "item", "n", *(f"c{i}" for i in range(3)), *(f"a{i}" for i in range(3)), *((F.col(f"a{i}") * (F.col(f"x{i}") - F.col(f"a{i}") * F.col(f"y{i}"))).alias(f"w{i}") for i in range(3)))
+        items, _ = bounded(state.groupBy("item").agg(F.sum("n").alias("labels"), *(F.sum(a(i) * F.col(f"y{i}")).alias(f"x{i}") for i in range(3)), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(3))))
+        to_items = items.select("item", F.col("labels").alias("tn"), *(f"x{i}" for i in range(3)))
+        # the mean of the others' labels, not their sum: a hot item weighs like any other
+        others = lambda i: F.coalesce((F.col(f"x{i}") - a(i) * F.col(f"y{i}")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0)), F.lit(0.0))
+        heard = state.join(to_items, "item").select(*kept, *(f"y{i}" for i in range(3)), *((a(i) * others(i)).alias(f"w{i}") for i in range(3)))
         sums = heard.groupBy("annotator").agg(F.sum("n").alias("labels"), *(F.sum(f"w{i}").alias(f"u{i}") for i in range(3)), *(F.sum(F.abs(F.col(f"w{i}"))).alias(f"v{i}") for i in range(3)))
         reliability = (sum((F.col(f"u{i}") for i in range(3)), F.lit(0.0)) / F.nullif(sum((F.col(f"v{i}") for i in range(3)), F.lit(0.0)), F.lit(0.0))).alias("reliability")
         annotators, _ = bounded(sums.select("*", reliability))
-        left_out = lambda i: F.coalesce((F.col(f"u{i}") - F.col(f"w{i}")) / F.nullif(F.col(f"v{i}") - F.abs(F.col(f"w{i}")), F.lit(0.0)), F.lit(0.0))
-        state = heard.join(annotators.drop("labels", "reliability"), "annotator").select("annotator", "item", "n", *(f"c{i}" for i in range(3)), *(f"a{i}" for i in range(3)), *(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), left_out(i))).alias(f"y{i}") for i in range(3)))
+        rest = lambda i: F.col(f"v{i}") - F.abs(F.col(f"w{i}"))
+        # a rest of rounding errors has no sign to follow
+        left_out = lambda i: F.when(rest(i) > 1e-9, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col(f"u{i}") - F.col(f"w{i}")) / rest(i)))).otherwise(0.0)
+        answered = heard.join(annotators.drop("labels", "reliability"), "annotator").select(*kept, *(f"y{i}" for i in range(3)), *(left_out(i).alias(f"z{i}") for i in range(3)))
         if step % 2 == 0:
-            state = cut(state)
-        now = annotators.select("annotator", "reliability")
-        if before is not None:
-            moved = now.join(before.withColumnRenamed("reliability", "was"), "annotator").agg(F.avg(F.abs(F.col("reliability") - F.col("was")))).first()[0]
-            if moved is None or moved < tolerance:
-                break
-        before = now
-    return items, annotators.select("annotator", "labels", "reliability")
+            answered = cut(answered)
+        moved = answered.agg(F.max(F.greatest(*(F.abs(F.col(f"z{i}") - F.col(f"y{i}")) for i in range(3))))).first()[0]
+        if moved is None or moved < tolerance:
+            return items, annotators.select("annotator", "labels", "reliability")
+        # half steps unless the largest move at least halves: messages of annotators with few labels would else swing for ever
+        pace = 1.0 if before is None or moved <= before / 2 else 0.5
+        before = moved
+        state = answered.select(*kept, *((F.col(f"y{i}") + F.lit(pace) * (F.col(f"z{i}") - F.col(f"y{i}"))).alias(f"y{i}") for i in range(3)))
+    raise RuntimeError(f"messages still move by {before} after {most_iterations} iterations (tolerance {tolerance})")
 
 
 def consensus(items: DataFrame) -> DataFrame:
