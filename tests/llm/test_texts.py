@@ -195,3 +195,11 @@ def test_loose_leak_inside_a_long_stretch(at):
     matcher = leakage.Matcher([(1, " ".join(item))])
     text = filler[: at * 5] + passage + filler[at * 5 :]
     assert not matcher.match(" ".join(filler)) and matcher.match(" ".join(text)) == [(1, "loose", 3)]
+
+
+def test_marks_of_any_length_and_number():
+    style = "x" * 2000
+    assert folding.words(f'one <span style="{style}">two</span> three <!-- {style} <p> --> four <p class="{style}">five') == ["one", "two", "three", "four", "five"]
+    assert folding.words("the+mix+caf%C3%A9+is") == ["the", "mix", "cafe", "is"]
+    assert folding.words("the caf%C3%A9 at 5%20 or so") == ["the", "cafe", "at", "5", "20", "or", "so"]
+    assert folding.words("left <!-- open " * 20_000)[:3] == ["left", "open", "left"]  # linear

@@ -15,10 +15,11 @@ LOOKALIKES = {
 }
 _LOOK = str.maketrans(LOOKALIKES)
 _UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
-_BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|html|body|head|blockquote|pre|hr|section|article|title)\b[^<>]{0,300}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
+_BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|html|body|head|blockquote|pre|hr|section|article|title)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
+_PERCENT_WIDE = re.compile(r"(?:%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+)+")
 _QUOTED = re.compile(r"(?:=[0-9A-F]{2})+")
 #: A run of characters that bytes of UTF-8 become when they are read as a one-byte encoding.
 _MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{1,3}")
@@ -67,6 +68,15 @@ def fold_word(w: str) -> str:
     return w
 
 
+def _without_comments(text: str) -> str:
+    """Comments of any length taken away, in one scan; an open one stays."""
+    out, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        out.append(text[at:begin])
+        at = end + 3
+    return "".join([*out, text[at:]])
+
+
 def decode_marks(text: str) -> str:
     """Entities, escapes, misread bytes and markup resolved; line breaks kept."""
     for _ in range(2):
@@ -74,17 +84,21 @@ def decode_marks(text: str) -> str:
             text = html.unescape(text)
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16)), text).replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"').replace("\\/", "/")
-    if "%" in text and len(_PERCENT.findall(text)) > 2:
-        text = _PERCENT.sub(_from_hex, text)
-        if "+" in text and " " not in text.strip():
-            text = text.replace("+", " ")
+    if "%" in text:
+        # one or two escapes may be plain text among blanks, unless they spell a letter of several bytes
+        if len(_PERCENT.findall(text)) > 2 or (" " not in text.strip() and _PERCENT.search(text)):
+            text = _PERCENT.sub(_from_hex, text)
+            if "+" in text and " " not in text.strip():
+                text = text.replace("+", " ")
+        else:
+            text = _PERCENT_WIDE.sub(_from_hex, text)
     if "=" in text and ("=\n" in text or "=20" in text or _QUOTED.search(text)):
         text = _QUOTED.sub(_from_hex, text.replace("=\r\n", "").replace("=\n", ""))
     for _ in range(2):
         if not text.isascii() and _MISREAD.search(text):
             text = _MISREAD.sub(_reread, text)
     if "<" in text:
-        text = _TAG.sub("", _BLOCK.sub("\n", text))
+        text = _TAG.sub("", _BLOCK.sub("\n", _without_comments(text)))
     if not text.isascii():
         text = _UNSEEN.sub("", text)
     return text
