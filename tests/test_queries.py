@@ -30,3 +30,7 @@ def test_runs(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_spearman_pairs_of_all_scalars(spark):
+    assert QUERIES["spearman_pairs_all"](spark, DATA).select("x", "y").distinct().count() == 28
