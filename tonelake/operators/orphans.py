@@ -5,8 +5,8 @@ parent table and key. A group without a parent tag holds only orphans. A group w
 some of its references lie outside the parent's periods. Only those suspect keys go back to the child rows.
 
 Children are counted per key before the union (map-side), so a key that holds a third of all rows costs one row per
-task there. The suspect keys are broadcast after a check of their number; beyond the bound the join shuffles and
-adaptive execution splits hot keys.
+task there. The suspect keys are broadcast after a check of their rows and bytes; beyond the bounds the join is salted,
+so that a hot key is spread over many tasks.
 
 Defined results:
 * null or blank reference: no reference, never an orphan;
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.text import id_key
-from tonelake.sources.tables import BROADCAST_ROWS, bounded
+from tonelake.sources.tables import BROADCAST_ROWS, join_small
 
 
 @dataclass(frozen=True)
@@ -87,19 +87,34 @@ def _is_orphan() -> Column:
     return (F.col("parent_flag") == 0) | (F.col("at").isNotNull() & ~_holds(F.col("periods"), F.col("at"), F.col("at")))
 
 
+_KEY = ["ref_field", "ref_key"]
+
+
 def orphans(refs: DataFrame, parents: list[Parent], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The orphan references: (row_id, at, ref_field, ref_key)."""
-    suspects, _ = bounded(suspect_keys(key_groups(refs, parents)), broadcast_rows)
-    return refs.join(suspects, ["ref_field", "ref_key"]).where(_is_orphan()).select("row_id", "at", "ref_field", "ref_key")
+    return join_small(refs, suspect_keys(key_groups(refs, parents)), _KEY, "row_id", rows=broadcast_rows).where(_is_orphan()).select("row_id", "at", *_KEY)
 
 
 def orphan_report(refs: DataFrame, parents: list[Parent], period: str = "yyyy-MM", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per referred table and period: references, orphans, and those whose key no parent row has at all."""
-    suspects, _ = bounded(suspect_keys(key_groups(refs, parents)), broadcast_rows)
+    """Per referred table and period: references, orphans, and those whose key no parent row has at all.
+
+    References are counted per key and period, and the counts are summed; rows are looked at again only for the keys and
+    periods in which a parent row begins or ends.
+    """
     name = F.create_map(*(F.lit(x) for p in parents for x in (p.field, p.table)))
+    dated = refs.withColumn("period", F.coalesce(F.date_format("at", period), F.lit("unknown")))
+    cells = dated.groupBy(*_KEY, "period").agg(F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    judged = join_small(cells, suspect_keys(key_groups(refs, parents)), _KEY, "period", "left", broadcast_rows)
+    timed = F.col("first_at").isNotNull()
+    touched = F.exists("periods", lambda p: (p["start"].isNull() | (p["start"] <= F.col("last_at"))) & (p["end"].isNull() | (F.col("first_at") < p["end"])))
+    verdict = F.when(F.col("parent_flag").isNull() | ~((F.col("parent_flag") == 0) | timed), "none").when(F.col("parent_flag") == 0, "all").when(_holds(F.col("periods"), F.col("first_at"), F.col("last_at")), "none").when(~touched, "all").otherwise("some")
+    judged = judged.withColumn("verdict", verdict)
+    some = judged.where("verdict = 'some'").select(*_KEY, "period", "parent_flag", "periods")
+    within = join_small(dated, some, [*_KEY, "period"], "row_id", rows=broadcast_rows).where(_is_orphan()).groupBy(*_KEY, "period").agg(F.count(F.lit(1)).alias("within"))
+    counted = judged.join(within, [*_KEY, "period"], "left")
+    orphan = F.when(F.col("verdict") == "all", F.col("refs")).when(F.col("verdict") == "some", F.coalesce("within", F.lit(0))).otherwise(F.lit(0))
     return (
-        refs.join(suspects, ["ref_field", "ref_key"], "left")
-        .select(name[F.col("ref_field")].alias("ref_table"), F.coalesce(F.date_format("at", period), F.lit("unknown")).alias("period"), F.coalesce(_is_orphan(), F.lit(False)).alias("orphan"), F.coalesce(F.col("parent_flag") == 0, F.lit(False)).alias("missing"))
+        counted.select(name[F.col("ref_field")].alias("ref_table"), "period", "refs", orphan.cast("bigint").alias("orphan"), F.when(F.col("parent_flag") == 0, F.col("refs")).otherwise(F.lit(0)).cast("bigint").alias("missing"))
         .groupBy("ref_table", "period")
-        .agg(F.count(F.lit(1)).alias("refs"), F.count_if("orphan").alias("orphans"), F.count_if("missing").alias("without_parent"))
+        .agg(F.sum("refs").alias("refs"), F.sum("orphan").alias("orphans"), F.sum("missing").alias("without_parent"))
     )

@@ -1,16 +1,20 @@
-"""Table access and the few session-wide decisions the operators share."""
+"""Table access, cutting of lineage, and joins whose small side is broadcast only after a check of its size."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after its size was checked.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast after both were checked.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Tasks over which one key of the large side is spread where the small side is not small.
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,34 +23,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is configured (local tests)."""
+    """The shared checkpoint folder of the session. Only a local session may go without: it gets a temporary one."""
     at = spark.sparkContext.getCheckpointDir()
     if at:
         return at
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tonelake-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there: its lineage is cut and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as a table to the shared checkpoint folder and read from there: its lineage is cut and survives lost executors.
 
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """`df`, persisted, with a broadcast hint if it has at most `rows` rows, and whether it has.
-
-    Above the bound no hint is given: the join then shuffles, and adaptive execution splits its hot keys.
+    `release` deletes the table once nothing refers to it any more.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    small = kept.limit(rows + 1).count() <= rows
-    return (F.broadcast(kept) if small else kept), small
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit in a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """`df`, persisted, with a broadcast hint if it holds at most `rows` rows and `size` bytes, and whether it does."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # the count fills the store, whose statistics then are the measured bytes
+    small = kept.count() <= rows and int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size
+    out = F.broadcast(kept) if small else kept
+    out._kept, out._small = kept, small
+    return out, small
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Give up what `bounded` persisted and what `cut` wrote for these frames."""
+    for f in frames:
+        kept, path = getattr(f, "_kept", None), getattr(f, "_cut_path", None)
+        if kept is not None:
+            kept.unpersist()
+        if path is not None:
+            jvm = f.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_small(large: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = SALTS, held: list[DataFrame] | None = None) -> DataFrame:
+    """`large` joined with a side that usually is small: broadcast if it is, else each of its rows is repeated for `salts` parts of its key's rows.
+
+    So a key that holds a third of all rows is spread over `salts` tasks. `spread_by` is a column of `large` that varies within a key.
+    `small` may come from `bounded` already; what is persisted here goes to `held`, for `release`.
+    """
+    if hasattr(small, "_kept"):
+        side, fits = small, small._small
+    else:
+        side, fits = bounded(small, rows)
+        if held is not None:
+            held.append(side)
+    if fits:
+        return large.join(side, on, how)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def text_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that what a Python worker makes of long texts stays small. Spark itself bounds a batch's bytes."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> None:
