@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.sources.tables import text_batches
+from tonelake.sources.tables import text_rows
 
 ITEMS, KEYS = "[]", "{}"
 
@@ -190,7 +190,6 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
 
     If an ancestor tells its branches, a map `other` with all else follows.
     """
-    text_batches(df.sparkSession)
     leaves = list(dict.fromkeys(x for a in cells.values() for one in a for x in one.leaves))
     columns = list(cells)
     whole = any(one.branches is not None for a in cells.values() for one in a)
@@ -200,7 +199,7 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
     schema = pa.schema([pa.field(n, kinds[n][0]) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_rows(batches):
             ids = batch.column(0).to_pylist()
             out: list[list] = [[] for _ in names]
             for c, column in enumerate(columns):
