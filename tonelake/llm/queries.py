@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonelake.llm import abuse, consensus, leakage, quantiles, subset, tokens
 from tonelake.llm.sql import SQL  # noqa: F401  (read by the entry module)
-from tonelake.sources.tables import table
+from tonelake.sources.tables import cut, table
 
 SCALARS = ["rms_left", "rms_right", "rms_mean", "crest_factor_left", "crest_factor_right", "crest_factor_mean", "stereo_width", "stereo_imbalance"]
 KIND_RADIUS = 1.0
@@ -16,21 +16,18 @@ SUBSET_SIZE = 6
 PREFERENCE, PERCENTILE = "median_previous_preference", "rating_percentile_within_song"
 PROPOSAL_GROUPS = ["song_id", "rating_condition", "review_round"]
 
-#: Participants with so many labels are found if their correlation with the others' means is below the limit.
-UNRELATED, LEAST_LABELS = 0.4, 40
+#: Participants with so many labels are found if the messages doubt them and their correlation with the others' means is below the limit.
+LEAST_LABELS, UNRELATED, DOUBTFUL = 40, 0.4, 0.6
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     labels = consensus.distinct_labels(table(spark, d, "evaluations"), "evaluation_id", "participant_id", "mix_id", "preference_score_0_1", "received_at")
-    return consensus.cut(consensus.label_edges(labels))
+    return cut(consensus.label_edges(cut(labels)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Participants with enough labels whose correlation with the others' means is too low. No one is left out beforehand."""
-    edges = _edges(spark, d)
-    enough = edges.groupBy("annotator").agg(F.sum("n").alias("labels")).where(F.col("labels") >= LEAST_LABELS)
-    unrelated = consensus.others_correlation(edges).where(F.col("correlation") < UNRELATED)
-    return unrelated.join(enough, "annotator").select(F.col("annotator").alias("participant_id"))
+    """Participants whom the messages doubt, confirmed by their exact correlation with the others' means."""
+    return consensus.unrelated(_edges(spark, d), LEAST_LABELS, UNRELATED, DOUBTFUL).select(F.col("annotator").alias("participant_id"))
 
 
 def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +38,7 @@ def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
 def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     _, annotators = consensus.pass_messages(edges)
-    return annotators.join(consensus.others_correlation(edges), "annotator", "left").select(F.col("annotator").alias("participant_id"), "labels", F.round("reliability", 6).alias("reliability"), F.round("correlation", 6).alias("correlation"))
+    return annotators.join(consensus.others_correlation(edges), "annotator", "left").select(F.col("annotator").alias("participant_id"), "labels", F.round("reliability", 4).alias("reliability"), F.round("correlation", 6).alias("correlation"), "converged")
 
 
 def _pools(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +58,13 @@ def p3_subsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = quantiles.percentiles(table(spark, d, "six_mix_proposals"), ["review_round"], [PREFERENCE, PERCENTILE], [0.5, 0.95], 0.0, 1.0, day="generated_on")
+    rows = quantiles.percentiles(table(spark, d, "six_mix_proposals"), ["review_round"], [PREFERENCE, PERCENTILE], [0.5, 0.95], 0.0, 1.0)
     high = ((F.col("measure") == PREFERENCE) & (F.col("p") == 0.95) & (F.col("value") >= 0.80)) | ((F.col("measure") == PERCENTILE) & (F.col("p") == 0.5) & (F.col("value") >= 0.60))
     return rows.where(high & F.col("review_round").isNotNull()).select("review_round", "measure")
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(table(spark, d, "six_mix_proposals"), PROPOSAL_GROUPS, [PREFERENCE, PERCENTILE], [0.05, 0.25, 0.5, 0.75, 0.95], 0.0, 1.0, day="generated_on")
+    return quantiles.percentiles(table(spark, d, "six_mix_proposals"), PROPOSAL_GROUPS, [PREFERENCE, PERCENTILE], [0.05, 0.25, 0.5, 0.75, 0.95], 0.0, 1.0)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
