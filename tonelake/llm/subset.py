@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.numeric import is_finite
+from tonelake.sources.tables import join_small
 
 #: Members of one block: 5,000 x 8 doubles and one distance column each stay within a few MB.
 BLOCK = 5_000
@@ -58,31 +60,67 @@ def farthest_first(vectors: np.ndarray, size: int | None, radius: float | None)
     return chosen
 
 
-def representatives(pool: DataFrame, size: int | None = None, radius: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(grp, member, vec, position) chosen by farthest-first in blocks and again over the blocks' choices."""
-    sized = pool.select("grp", "member", "vec").join(
-        pool.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp"
-    ).withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("members") / F.lit(block))))
+def _blocks(pool: DataFrame, block: int) -> DataFrame:
+    """(grp, member, vec, salt): large groups are spread over several blocks."""
+    sizes = pool.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
+    return join_small(pool.select("grp", "member", "vec"), sizes, ["grp"], "member", "left").withColumn("salt", F.pmod(F.xxhash64("member"), F.coalesce(F.ceil(F.col("members") / F.lit(block)), F.lit(1)))).drop("members")
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["vec"].tolist(), dtype=float).reshape(len(pdf), -1)
+
+
+def representatives(pool: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
+    """(grp, member, vec, position): `size` members chosen by farthest-first in blocks and again over the blocks' choices."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("member", kind="stable").reset_index(drop=True)
-        at = farthest_first(np.array(pdf["vec"].tolist(), dtype=float).reshape(len(pdf), -1), size, radius)
+        at = farthest_first(_vectors(pdf), size, None)
         return pd.DataFrame({"grp": pdf["grp"].iloc[at].to_numpy(), "member": pdf["member"].iloc[at].to_numpy(), "vec": [list(map(float, v)) for v in pdf["vec"].iloc[at]], "position": range(1, len(at) + 1)})
 
     schema = "grp string, member string, vec array<double>, position int"
-    local = sized.groupBy("grp", "salt").applyInPandas(lambda pdf: choose(pdf), schema)
-    return local.drop("position").groupBy("grp").applyInPandas(lambda pdf: choose(pdf), schema)
+    local = _blocks(pool, block).groupBy("grp", "salt").applyInPandas(lambda pdf: choose(pdf), schema)
+    return local.drop("position").groupBy("grp").applyInPandas(choose, schema)
 
 
 def distance(a: str, b: str) -> F.Column:
     return F.sqrt(F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def kinds(pool: DataFrame, radius: float) -> DataFrame:
-    """(grp, member, kind): the nearest representative of each member is its kind."""
-    reps = representatives(pool, radius=radius).select("grp", F.col("member").alias("kind"), F.col("vec").alias("centre"))
-    near = pool.select("grp", "member", "vec").join(reps, "grp").select("grp", "member", "kind", distance("vec", "centre").alias("d"))
-    return near.groupBy("grp", "member").agg(F.min(F.struct("d", "kind")).alias("m")).select("grp", "member", F.col("m.kind").alias("kind"))
+def kinds(pool: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
+    """(grp, member, kind, pool_kinds): each member's kind, named by a representative, and the number of kinds of its pool.
+
+    A block chooses its representatives and gives each of its members the nearest one at once; the blocks'
+    representatives alone are pooled, and farthest-first over them tells which of them are of one kind. So no member
+    ever meets the representatives of another block.
+    """
+
+    def nearest(v: np.ndarray, at: list[int]) -> np.ndarray:
+        """For each row the nearest of the chosen rows; ties go to the lower id."""
+        order = np.array(sorted(at))
+        best, least = np.full(len(v), order[0]), np.full(len(v), np.inf)
+        for k in order:
+            d = ((v - v[k]) ** 2).sum(axis=1)
+            closer = d < least
+            best[closer], least[closer] = k, d[closer]
+        return best
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("member", kind="stable").reset_index(drop=True)
+        v = _vectors(pdf)
+        near = nearest(v, farthest_first(v, None, radius))
+        own = near == np.arange(len(v))
+        return pd.DataFrame({"grp": pdf["grp"], "member": pdf["member"], "rep": pdf["member"].to_numpy()[near], "vec": [list(map(float, x)) if o else None for x, o in zip(v, own)]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("member", kind="stable").reset_index(drop=True)
+        v = _vectors(pdf)
+        near = nearest(v, farthest_first(v, None, radius))
+        return pd.DataFrame({"grp": pdf["grp"], "rep": pdf["member"], "kind": pdf["member"].to_numpy()[near], "pool_kinds": len(set(near))})
+
+    local = _blocks(pool, block).groupBy("grp", "salt").applyInPandas(within, "grp string, member string, rep string, vec array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    reps = local.where("vec is not null").select("grp", "member", "vec").groupBy("grp").applyInPandas(across, "grp string, rep string, kind string, pool_kinds bigint")
+    return join_small(local.select("grp", "member", "rep"), reps, ["grp", "rep"], "member").select("grp", "member", "kind", "pool_kinds")
 
 
 def selected_members(selections: DataFrame, selection: str, group: str, members: str, separator: str = r"\|") -> DataFrame:
@@ -93,10 +131,13 @@ def selected_members(selections: DataFrame, selection: str, group: str, members:
 
 def crowded_selections(pool: DataFrame, chosen: DataFrame, radius: float) -> DataFrame:
     """Selections that hold two members of one kind although some kind of their pool is missing: (selection, members, kinds, pool_kinds)."""
-    of = kinds(pool, radius)
-    in_pool = of.groupBy("grp").agg(F.count_distinct("kind").alias("pool_kinds"))
-    held = chosen.join(of, ["grp", "member"]).groupBy("selection", "grp").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("kind").alias("kinds"))
-    return held.join(in_pool, "grp").where((F.col("members") > F.col("kinds")) & (F.col("kinds") < F.col("pool_kinds"))).select("selection", "members", "kinds", "pool_kinds")
+    held = chosen.join(kinds(pool, radius), ["grp", "member"])
+    return (
+        held.groupBy("selection", "grp")
+        .agg(F.count(F.lit(1)).alias("members"), F.count_distinct("kind").alias("kinds"), F.max("pool_kinds").alias("pool_kinds"))
+        .where((F.col("members") > F.col("kinds")) & (F.col("kinds") < F.col("pool_kinds")))
+        .select("selection", "members", "kinds", "pool_kinds")
+    )
 
 
 def subset_report(pool: DataFrame, size: int, institution: str) -> DataFrame:
