@@ -1,11 +1,14 @@
-"""Exact percentiles of large numeric columns by radix selection.
+"""Exact percentiles of large numeric columns by radix selection, and summaries of days that can be merged.
 
 A double maps to an order-preserving 64-bit integer. Each round counts one digit of it per group, adds the counts up
 and follows only the digit that holds each target rank; after the last digit the value is known exactly, so the rank
-error is zero. Counts of separate partitions or days add up: `digit_counts` with a day column is a mergeable summary.
+error is zero. Every round has map-side counts of at most 65,536 cells per group, however large the group is, and keeps
+only the rows in followed cells for the next one: rows shrink with each digit. The followed prefixes (groups x
+percentiles) are broadcast only after a check of their size.
 
-Every round is one scan with map-side counts of at most 65,536 cells per group, however large the group is. The
-followed prefixes (groups x percentiles) are broadcast only after a check of their number.
+`radix_summary` counts digits per group and day, and splits a cell further only while it holds more than a share of its
+day's rows. Summaries of any days or partitions may be concatenated; `summary_percentiles` reads percentiles off them
+without the rows. Its rank error is at most the share: of each day, at most that share lies in the cell that is cut.
 
 Defined results: null, NaN and infinite values are left out, and values outside [low, high] where given; percentile p
 of n values is the one of rank max(1, ceil(p n)); -0.0 counts as 0.0; a group without values gives no row; null groups
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,13 +68,9 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_{c}"]) for c in columns))
 
 
-def digit_counts(keyed: DataFrame, by: list[str], day: str | None = None) -> DataFrame:
-    """Counts of the first digit per group (and day): a summary whose rows may be added up over days."""
-    return keyed.groupBy(*by, "measure", *([day] if day else []), F.shiftright("key", SHIFTS[0]).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def combine_days(counts: DataFrame, by: list[str]) -> DataFrame:
-    return counts.groupBy(*by, "measure", "digit").agg(F.sum("n").alias("n"))
+def digit_counts(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    """Counts of the first digit per group."""
+    return keyed.groupBy(*groups, F.shiftright("key", SHIFTS[0]).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_ranks(counts: DataFrame, groups: list[str]) -> DataFrame:
@@ -79,32 +79,69 @@ def _with_ranks(counts: DataFrame, groups: list[str]) -> DataFrame:
     return counts.withColumn("below", up_to - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy(*groups)))
 
 
-def percentiles(df: DataFrame, by: list[str], measures: list[str], ps: list[float], low: float | None = None, high: float | None = None, day: str | None = None) -> DataFrame:
-    """(*by, measure, p, n, value): the exact percentiles `ps` of each group. With `day`, first digits are counted per day and added up."""
-    keyed = ordered_values(df, [*by, *([day] if day else [])], measures, low, high)
-    first = combine_days(digit_counts(keyed, by, day), by) if day else digit_counts(keyed, by)
+def _rank(p: Column, total: Column) -> Column:
+    return F.greatest(F.lit(1).cast("bigint"), F.ceil(F.round(p * total, 6)))
+
+
+def _targets(ranked: DataFrame, ps: list[float], *columns) -> DataFrame:
+    """The cells of `ranked` that hold the percentiles' ranks: (*columns, p, rest), rest being the rank within the cell."""
+    at = F.inline(F.array(*(F.struct(F.lit(p).alias("p"), _rank(F.lit(p), F.col("total")).alias("rank")) for p in ps)))
+    return ranked.select("*", at).where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("n"))).select(*columns, "p", (F.col("rank") - F.col("below")).alias("rest"))
+
+
+def _joined(rows: DataFrame, small: DataFrame, on: list[str], held: list[DataFrame]) -> DataFrame:
+    """Null-safe equi-join with a side that usually is small; `small` has the columns of `on` with a leading underscore."""
+    side, _ = bounded(small)
+    held.append(side)
+    return rows.join(side, _same(rows, side, on))
+
+
+def percentiles(df: DataFrame, by: list[str], measures: list[str], ps: list[float], low: float | None = None, high: float | None = None) -> DataFrame:
+    """(*by, measure, p, n, value): the exact percentiles `ps` of each group."""
+    rows = ordered_values(df, by, measures, low, high)
     groups = [*by, "measure"]
-    rank = lambda p: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.round(F.lit(p) * F.col("total"), 6)))
-    targets = (
-        _with_ranks(first, groups)
-        .select("*", F.inline(F.array(*(F.struct(F.lit(p).alias("p"), rank(p).alias("rank")) for p in ps))))
-        .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("n")))
-        .select(*groups, "p", F.col("total").alias("of"), F.col("digit").alias("prefix"), (F.col("rank") - F.col("below")).alias("rest"))
-    )
+    targets = _targets(_with_ranks(digit_counts(rows, groups), groups), ps, *groups, F.col("total").alias("of"), F.col("digit").alias("prefix"))
+    held: list[DataFrame] = []
     for above, shift in zip(SHIFTS, SHIFTS[1:]):
         followed, _ = bounded(targets)
-        prefixes, _ = bounded(followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix"))).distinct())
-        rows = keyed.withColumn("prefix", F.shiftright("key", above))
-        cells = (
-            rows.join(prefixes, _same(rows, prefixes, [*groups, "prefix"]))
-            .groupBy(*groups, "prefix", F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("digit"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
+        held.append(followed)
+        prefixes = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix"))).distinct()
+        prefixed = rows.withColumn("prefix", F.shiftright("key", above))
+        # only rows in followed cells go on to the next digit
+        rows = _joined(prefixed, prefixes, [*groups, "prefix"], held).select(*groups, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        cells = rows.groupBy(*groups, F.shiftright("key", above).alias("prefix"), F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         counted = _with_ranks(cells, [*groups, "prefix"])
         goal = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix")), "p", "of", "rest")
         targets = (
-            counted.join(goal, _same(counted, goal, [*groups, "prefix"]))
+            counted.join(F.broadcast(goal) if followed._small else goal, _same(counted, goal, [*groups, "prefix"]))
             .where((F.col("rest") > F.col("below")) & (F.col("rest") <= F.col("below") + F.col("n")))
             .select(*groups, "p", "of", (F.shiftleft("prefix", 16) + F.col("digit")).alias("prefix"), (F.col("rest") - F.col("below")).alias("rest"))
         )
     return targets.select(*groups, "p", F.col("of").alias("n"), from_ordered(F.col("prefix")).alias("value"))
+
+
+def radix_summary(df: DataFrame, by: list[str], measures: list[str], day: str, share: float = 0.005, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(*by, measure, day, first, last, n): counts of disjoint ranges of ordered keys per group and day; a range of several keys holds at most `share` of its day's rows."""
+    groups = [*by, "measure", day]
+    rows = ordered_values(df, [*by, day], measures, low, high)
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    out, open_cells = None, None
+    for shift in SHIFTS:
+        cells = rows.groupBy(*groups, F.shiftright("key", shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+        s = sizes.select(*(F.col(c).alias(f"_{c}") for c in groups), "_size")
+        cells = cells.join(s, _same(cells, s, groups))
+        done = (F.col("n") <= F.lit(share) * F.col("_size")) | (F.col("first") == F.col("last"))
+        ready = cells.where(done).select(*groups, "first", "last", "n")
+        out = ready if out is None else out.unionByName(ready)
+        open_cells = cells.where(~done).select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix")))
+        prefixed = rows.withColumn("prefix", F.shiftright("key", shift))
+        side, _ = bounded(open_cells)
+        rows = prefixed.join(side, _same(prefixed, side, [*groups, "prefix"])).select(*groups, "key")
+    return out
+
+
+def summary_percentiles(summary: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
+    """(*by, measure, p, n, value) from summaries of any days or partitions, concatenated."""
+    groups = [*by, "measure"]
+    cells = summary.groupBy(*groups, F.col("last").alias("digit")).agg(F.sum("n").alias("n"))
+    return _targets(_with_ranks(cells, groups), ps, *groups, F.col("total").alias("n"), from_ordered(F.col("digit")).alias("value")).select(*groups, "p", "n", "value")
