@@ -19,7 +19,6 @@ _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|html|body|he
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
-_PERCENT_WIDE = re.compile(r"(?:%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+)+")
 _QUOTED = re.compile(r"(?:=[0-9A-F]{2})+")
 #: A run of characters that bytes of UTF-8 become when they are read as a one-byte encoding.
 _MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{1,3}")
@@ -52,7 +51,8 @@ def _from_hex(m: re.Match) -> str:
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return raw.decode("latin-1")
+        # a share as in `100%de` is no escape, one within a word is
+        return m[0] if m[0][0] == "%" and len(raw) == 1 and m.start() > 0 and m.string[m.start() - 1].isdigit() else raw.decode("latin-1")
 
 
 @lru_cache(maxsize=65536)
@@ -84,14 +84,10 @@ def decode_marks(text: str) -> str:
             text = html.unescape(text)
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16)), text).replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"').replace("\\/", "/")
-    if "%" in text:
-        # one or two escapes may be plain text among blanks, unless they spell a letter of several bytes
-        if len(_PERCENT.findall(text)) > 2 or (" " not in text.strip() and _PERCENT.search(text)):
-            text = _PERCENT.sub(_from_hex, text)
-            if "+" in text and " " not in text.strip():
-                text = text.replace("+", " ")
-        else:
-            text = _PERCENT_WIDE.sub(_from_hex, text)
+    if "%" in text and _PERCENT.search(text):
+        text = _PERCENT.sub(_from_hex, text)
+        if "+" in text and " " not in text.strip():
+            text = text.replace("+", " ")
     if "=" in text and ("=\n" in text or "=20" in text or _QUOTED.search(text)):
         text = _QUOTED.sub(_from_hex, text.replace("=\r\n", "").replace("=\n", ""))
     for _ in range(2):

@@ -4,11 +4,13 @@ A passage of an item counts if EXACT words in a row appear, or if LOOSE or more
 six changed, missing or added. Any such loose passage holds one of the windows of WINDOWS (length, error budget), so
 the windows at all places of an item are searched. A window with budget e is cut into e + 1 pieces, of which one must
 appear unchanged; all windows' pieces hold a run of PIECE words, so the index has each run of PIECE words at all
-places. Documents are scanned once against it; pairs with enough piece hits are verified by Myers' bit-parallel edit
-distance over words, for all places of a window length at once (one 64-bit lane per place).
+places. Documents are scanned once against it. Around the hits, all items that share them are asked at once which of
+them have a window whose words mostly occur there; so pieces shared by many items (boilerplate) cost one array
+operation, not one comparison per item. What is left is verified by Myers' bit-parallel edit distance over words, for
+all places of a window length at once (one 64-bit lane per place). Both bounds drop nothing that could match.
 
-The items are the stated query set: they are broadcast in blocks of at most `block` items, each block scanning all
-documents, so what is broadcast is bounded whatever their number. Documents are neither shuffled nor cut.
+The items are the stated query set: they are broadcast in blocks of at most `block` items, and `resident` blocks share
+one scan, so what is broadcast and held is bounded whatever their number. Documents are neither shuffled nor cut.
 
 Defined results: null, empty and blank texts and items match nothing; items shorter than EXACT words match nothing;
 repeated documents and items give a row each; ties do not arise; each (document, item) pair is reported once per
@@ -17,6 +19,7 @@ document row, with the kind of match and its errors; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -27,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.folding import words
-from tonelake.sources.tables import text_batches
+from tonelake.sources.tables import text_rows
 
 EXACT, LOOSE, PIECE = 14, 22, 4
 #: (words, errors): L words with floor(L / 6) errors. Longer passages split into two of these.
 WINDOWS = ((22, 3), (24, 4), (30, 5), (36, 6), (42, 7))
 #: Item words that unchanged runs of PIECE words must cover: in the window (24, 4), 20 kept words fall into 5 runs, of which four may be shorter than PIECE.
 COVERED = 8
-ITEM_BLOCK = 5_000
+#: Items of one broadcast, and broadcasts whose items a worker holds at once: one scan serves 100,000 items.
+ITEM_BLOCK, RESIDENT = 5_000, 20
 #: Words of a text compared with an item at once.
 STRETCH = 4_000
 
@@ -129,34 +133,87 @@ def enough_kept(item: Item, text: list[str]) -> list[tuple[int, int]]:
 
 
 class Matcher:
-    """The piece index of a block of items."""
+    """The piece index of the items, asked once per stretch of a text for all items together."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.index = [], defaultdict(list)
+        self.items: list[Item] = []
+        self.vocabulary: dict[str, int] = {}
+        at: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             tokens = words(text)
             if len(tokens) < EXACT:
                 continue
-            at = len(self.items)
-            self.items.append(Item(item_id, tokens))
             for p in range(len(tokens) - PIECE + 1):
-                self.index[tuple(tokens[p : p + PIECE])].append((at, p))
-        self.index = dict(self.index)
+                at[tuple(tokens[p : p + PIECE])].append((len(self.items), p))
+            self.items.append(Item(item_id, tokens))
+        self.piece = {g: k for k, g in enumerate(at)}
+        self.postings = [np.array(v, dtype=np.int32).T for v in at.values()]
+        codes = [[self.vocabulary.setdefault(t, len(self.vocabulary)) for t in i.tokens] for i in self.items]
+        self.flat = np.array([c for one in codes for c in one], dtype=np.int32)
+        self.lengths = np.array([len(one) for one in codes], dtype=np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if codes else np.zeros(0, dtype=np.int64)
+
+    def _holding(self, candidates: np.ndarray, stretch: list[str]) -> np.ndarray:
+        """Those of the candidate items of which some window's words mostly occur in the stretch, in whatever order: a bound that any match satisfies."""
+        get = self.vocabulary.get
+        present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        present[[get(t, -1) for t in stretch]] = True
+        present[-1] = False
+        lengths = self.lengths[candidates]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        place = np.arange(total) + np.repeat(self.begins[candidates] - (ends - lengths), lengths)
+        owner = np.repeat(np.arange(len(candidates)), lengths)
+        kept = np.concatenate([[0], np.cumsum(present[self.flat[place]])])
+        good = np.zeros(len(candidates), dtype=bool)
+        for length, budget in ((EXACT, 0), *WINDOWS):
+            if length > total:
+                break
+            enough = (kept[length:] - kept[:-length] >= length - budget) & (owner[length - 1 :] == owner[: total - length + 1])
+            good[owner[: total - length + 1][enough]] = True
+        return candidates[good]
 
     def match(self, text: str | None) -> list[tuple[int, str, int]]:
         """(item_id, kind, errors) of the items that the text shows."""
         tokens = words(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        get = self.index.get
-        for q, piece in enumerate(zip(*(tokens[k:] for k in range(PIECE)))):
-            for at, p in get(piece, ()):
-                hits[at].append((q, p))
-        out = []
-        for at, places in hits.items():
-            found = self._verify(self.items[at], places, tokens)
-            if found:
-                out.append((self.items[at].item_id, *found))
-        return out
+        get = self.piece.get
+        hits = [(q, k) for q, k in enumerate(map(get, zip(*(tokens[k:] for k in range(PIECE))))) if k is not None]
+        if not hits:
+            return []
+        # stretches of the text around the hits, of bounded length; a window reaches at most its length and budget beyond a hit
+        reach = WINDOWS[-1][0] + WINDOWS[-1][1]
+        stretches: list[list] = []
+        for q, k in hits:
+            if stretches and q - reach <= stretches[-1][1]:
+                stretches[-1][1] = q + PIECE + reach
+                stretches[-1][2].append((q, k))
+            else:
+                stretches.append([max(0, q - reach), q + PIECE + reach, [(q, k)]])
+        found: dict[int, tuple[str, int]] = {}
+        for begin, end, inside in stretches:
+            step = STRETCH - 2 * reach
+            for b in range(begin, max(begin + 1, end - 2 * reach), step):
+                e = min(b + STRETCH, end)
+                here = [(q, k) for q, k in inside if b <= q and q + PIECE <= e] if end - begin > STRETCH else inside
+                if len(here) + PIECE - 1 < COVERED and len(here) * PIECE < COVERED:
+                    continue
+                candidates = np.unique(np.concatenate([self.postings[k][0] for k in {k for _, k in here}]))
+                holding = self._holding(candidates, tokens[b:e])
+                if not len(holding):
+                    continue
+                chosen = np.zeros(len(self.items), dtype=bool)
+                chosen[holding] = True
+                places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for q, k in here:
+                    who, where = self.postings[k]
+                    for i, p in zip(who[chosen[who]].tolist(), where[chosen[who]].tolist()):
+                        places[i].append((q - b, p))
+                for i, at in places.items():
+                    if found.get(i, ("", 0))[0] != "exact":
+                        one = self._verify(self.items[i], at, tokens[b:e])
+                        if one and (i not in found or one[0] == "exact"):
+                            found[i] = one
+        return [(self.items[i].item_id, *f) for i, f in sorted(found.items())]
 
     @staticmethod
     def _verify(item: Item, places: list[tuple[int, int]], tokens: list[str]) -> tuple[str, int] | None:
@@ -169,61 +226,51 @@ class Matcher:
                 return "exact", 0
         if len(item.tokens) < LOOSE or not _may_cover(places):
             return None
-        # stretches of the text around the hits; a window reaches at most its length and budget beyond a hit
-        reach = WINDOWS[-1][0] + WINDOWS[-1][1]
-        stretches: list[list[int]] = []
-        for q, _ in places:
-            if stretches and q - reach <= stretches[-1][1]:
-                stretches[-1][1] = q + PIECE + reach
-            else:
-                stretches.append([max(0, q - reach), q + PIECE + reach])
-        # long stretches in blocks that overlap by more than a window, so that memory is bounded
-        blocks = ((b, min(b + STRETCH, end)) for begin, end in stretches for b in range(begin, max(begin + 1, end - 2 * reach), STRETCH - 2 * reach))
-        for begin, end in blocks:
-            part = tokens[begin:end]
-            for length, budget in enough_kept(item, part):
-                errors = least_errors(item, length, part, budget)
-                if errors <= budget:
-                    return "loose", errors
+        for length, budget in enough_kept(item, tokens):
+            errors = least_errors(item, length, tokens, budget)
+            if errors <= budget:
+                return "loose", errors
         return None
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def shared_matcher(key: tuple, items: list[tuple[int, str]]) -> Matcher:
-    """One matcher per worker and block of items; the last block's only."""
+def shared_matcher(key: str, blocks: list) -> Matcher:
+    """One matcher per worker and content of the items; the last one only."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items)
+        _MATCHERS[key] = Matcher([row for b in blocks for row in b.value])
     return _MATCHERS[key]
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, block: int = ITEM_BLOCK, resident: int = RESIDENT) -> DataFrame:
     """(doc_id, item_id, kind, errors) of every document that shows a passage of an item."""
     spark = docs.sparkSession
-    text_batches(spark)
     asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_id is not null and item_text is not null")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("errors", pa.int32())])
-    spark_schema = "doc_id bigint, item_id bigint, kind string, errors int"
 
-    def scan(sent, key):
+    def scan(sent: list, key: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = shared_matcher(key, sent.value)
-            for batch in batches:
+            matcher = shared_matcher(key, sent)
+            for batch in text_rows(batches):
                 out = [(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1)) for m in matcher.match(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-        return rows.mapInArrow(run, spark_schema)
+        return rows.mapInArrow(run, "doc_id bigint, item_id bigint, kind string, errors int")
 
-    parts, held = [], []
-    # the stated query set, block by block: a block at a time is on the driver
+    parts, held, sent, digest = [], [], [], hashlib.sha256()
+    # the stated query set, block by block: a block at a time is on the driver; `resident` blocks share one scan and one folding of the corpus
     for row in asked.toLocalIterator():
         held.append((row["item_id"], row["item_text"]))
+        digest.update(repr(held[-1]).encode("utf-8", "surrogatepass"))
         if len(held) == block:
-            parts.append(scan(spark.sparkContext.broadcast(held), (id(held), len(parts))))
+            sent.append(spark.sparkContext.broadcast(held))
             held = []
-    if held or not parts:
-        parts.append(scan(spark.sparkContext.broadcast(held), (id(held), len(parts))))
+            if len(sent) == resident:
+                parts.append(scan(sent, digest.hexdigest()))
+                sent, digest = [], hashlib.sha256()
+    if held or sent or not parts:
+        parts.append(scan([*sent, spark.sparkContext.broadcast(held)], digest.hexdigest()))
     return reduce(DataFrame.unionByName, parts)
