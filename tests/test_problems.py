@@ -104,9 +104,42 @@ def test_long_record(spark):
 
 
 def test_strict_json():
-    good = ['{"a":1}', " [1, 2.50e3]\n", '"x"', "null", '{"a":1,"a":2}', "1" * 5000]
+    good = ['{"a":1}', " [1, 2.50e3]\n", '"x"', "null", '{"a":1,"a":2}', "1" * 5000, "[" * 200_000 + "]" * 200_000, '{"a":' * 100_000 + "0" + "}" * 100_000]
     bad = ["", None, "NaN", "[1,]", "{'a':1}", "[1] x", "﻿[]", "[Infinity]", "01", '"\t"', "[" * 100_000]
-    assert all(nested.parse_strict(g)[0] for g in good) and not any(nested.parse_strict(b)[0] for b in bad)
+    bad += ['{"a"}', '{"a":1,}', "[1 2]", '{"a" 1}', '["\\x"]', "]", "[1}", '{1:2}', "tru", "[,1]", "{,}", '{"a":1 "b":2}', "- 1", "1.", "[1]]"]
+    assert all(nested.scan(g, []) is not None for g in good) and not any(nested.scan(b, []) is not None for b in bad)
+
+
+def test_instance_below_many_levels():
+    ancestor = nested.Ancestor("z", (nested.ITEMS, ("deep",)), ("x",), branches=())
+    deep = '{"k":' * 50_000 + "1" + "}" * 50_000
+    rows = nested.scan('[{"deep": {"x": 1, "y": %s}}]' % deep, [ancestor])
+    assert [(i, at, row["x"], row["y"] == deep) for i, at, row in rows] == [(0, ("0",), "1", True)]
+
+
+def test_scanner_agrees_with_the_json_module():
+    rng = random.Random(3)
+    pieces = ["{", "}", "[", "]", ",", ":", '"a"', '"b\\n"', "1", "-0.5e3", "true", "null", " ", "NaN", '"', "01"]
+
+    def strict(text):
+        def refuse(name):
+            raise ValueError(name)
+
+        try:
+            json.loads(text, parse_constant=refuse)
+        except ValueError:
+            return False
+        return True
+
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(1, 9)))
+        assert (nested.scan(text, []) is not None) == strict(text), text
+
+
+def test_of_repeated_keys_the_last_value_holds():
+    versions = nested.Ancestor("v", (nested.ITEMS, ("version_records", "versions"), nested.ITEMS), ("s",))
+    got = nested.scan('[{"versions": [{"s": 1}], "version_records": [{"s": 2}], "version_records": [{"s": 3, "s": 4}]}, {"version_records": 5, "versions": [{"s": 6}]}]', [versions])
+    assert got == [(0, ("0", "0"), {"s": "4"})]
 
 
 def test_nested_levels_and_foreign_elements(spark):
@@ -183,4 +216,4 @@ def test_deep_random_documents(spark):
 
     for _ in range(300):
         v = [value(0) for _ in range(3)]
-        assert [at for at, _ in nested.pivot(nested.triples(v, ancestor))] == brute(v)
+        assert [at for _, at, _ in nested.scan(json.dumps(v), [ancestor])] == brute(v)

@@ -1,24 +1,26 @@
 """Deeply nested JSON cells as related flat tables with parent-child links.
 
-Each cell is parsed strictly and walked with an explicit stack into path-value-ordinal triples: the repeated ancestor
-(a list, or a map whose keys are data), the ordinals or keys that lead to it, the leaf's name and value. Triples of one
-ancestor instance are pivoted where they arise, since all of them come from one cell: a row per instance, keyed by
+Each cell is read once, event by event, by a strict scanner with an explicit stack (no tree is built, and no depth is
+too deep). Where an event lies under a repeated ancestor (a list, or a map whose keys are data), the scanner's stack
+holds the ordinals or keys that lead to the instance; leaf events become path-value-ordinal triples of that instance.
+Triples of one instance are pivoted where they arise, since all of them come from one cell: a row per instance, keyed by
 (record id, path), its parent being the path without the last step (an object under a fixed name has the path of the
-instance that holds it, which is also its parent). Nothing is shuffled. A branch that leads to no asked ancestor is not
-entered. An ancestor that tells its branches keeps all else of an instance too: what is neither an asked leaf nor a
+instance that holds it, which is also its parent). Nothing is shuffled, and all ancestors of all cells come from one
+scan. An ancestor that tells its branches keeps all else of an instance too: what is neither an asked leaf nor a
 branch of the expected kind goes by name into the map `other`, so no table loses anything. Without branches told, only
 the leaves asked for are collected.
 
 Defined results: null cells, cells that are not strict JSON (NaN and Infinity are none), and levels of another kind
 than the layout expects give no rows, and other levels of the same cell are kept; foreign elements of a list count as
 positions but give no rows; of a repeated key the last value holds; an absent or null leaf is null (in `other`, an
-absent one has no entry); a leaf that is no text comes as its JSON text, numbers as written; cells nested beyond the parser's depth (about 1,000 levels) count as unreadable; repeated
-records give their rows again; extra columns are ignored.
+absent one has no entry); a leaf that is no text comes as its JSON text as written; repeated records give their rows
+again; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.sources.tables import text_rows
+from tonelake.sources.tables import cut, text_rows
 
 ITEMS, KEYS = "[]", "{}"
 
@@ -47,141 +49,180 @@ class Ancestor:
     branches: tuple[tuple[tuple[str, ...], type], ...] | None = None
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(f"not JSON: {name}")
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|"([^"\\\x00-\x1f]*)"|("(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))')
+_BLANK = re.compile(r"[ \t\r\n]*")
+# what may come next
+_VALUE, _VALUE_OR_END, _KEY_OR_END, _KEY, _COLON, _MORE = range(6)
 
 
-class Number(str):
-    """A number, as written."""
+def _utf8(s: str) -> str:
+    """Lone surrogates, which JSON can escape, have no UTF-8 form."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
 
 
-_DECODER = json.JSONDecoder(parse_float=Number, parse_int=Number, parse_constant=_refuse)
+class _Open:
+    """A container whose end has not come yet: the ancestors sought below it, and the instances it is."""
 
+    __slots__ = ("is_map", "below", "instances", "begin", "key", "size", "spans", "row_at", "held")
+
+    def __init__(self, is_map: bool, below: list, instances: list, begin: int, key: str | None, row_at: int):
+        self.is_map, self.below, self.instances, self.begin, self.key, self.row_at = is_map, below, instances, begin, key, row_at
+        self.size = 0
+        self.spans: dict[str, tuple[int, int]] | None = {} if is_map and below else None
+        self.held: dict[str, tuple[bool, str | None]] | None = {} if instances else None  # key -> (container, text)
 
-def parse_strict(text: str | None) -> tuple[bool, object]:
-    """(True, value) of strict JSON, else (False, None). Numbers come as their text."""
-    if text is None:
-        return False, None
-    try:
-        begin = len(text) - len(text.lstrip(" \t\r\n"))
-        value, end = _DECODER.raw_decode(text, begin)
-        if text[end:].strip(" \t\r\n"):
-            return False, None
-    except (ValueError, RecursionError):
-        return False, None
-    return True, value
-
-
-def _text(v: object) -> str | None:
-    if v is None:
-        return None
-    if isinstance(v, Number):
-        return str(v)
-    if isinstance(v, str):
-        # lone surrogates, which JSON can escape, have no UTF-8 form
-        return v if v.isascii() else v.encode("utf-8", "replace").decode("utf-8")
-    return _json(v)
-
-
-def _quoted(s: str) -> str:
-    out = json.dumps(s, ensure_ascii=False)
-    try:
-        out.encode("utf-8")
-    except UnicodeEncodeError:
-        return json.dumps(s)
-    return out
 
+def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[str, ...], dict[str, str | None]]] | None:
+    """(ancestor, ordinals, leaves) of every instance in a strict JSON text, in order; None if it is none.
 
-def _json(value: object) -> str:
-    """JSON text with the numbers as written, of any depth."""
-    out: list[str] = []
-    stack: list[tuple[bool, object]] = [(False, value)]
-    while stack:
-        done, x = stack.pop()
-        if done or isinstance(x, Number):
-            out.append(str(x))
-        elif isinstance(x, str):
-            out.append(_quoted(x))
-        elif isinstance(x, (dict, list)):
-            inner: list[tuple[bool, object]] = []
-            for i, y in enumerate(x.items() if isinstance(x, dict) else x):
-                key, y = y if isinstance(x, dict) else (None, y)
-                inner += [(True, (", " if i else "") + ("" if key is None else f"{_quoted(key)}: ")), (False, y)]
-            out.append("{" if isinstance(x, dict) else "[")
-            stack.append((True, "}" if isinstance(x, dict) else "]"))
-            stack.extend(reversed(inner))
+    A state (ancestor, depth, ordinals) means that the first `depth` steps of the ancestor lead here. It advances with
+    each container that opens, so an event costs time only for the ancestors that can still come.
+    """
+    if text is None:
+        return None
+    rows: list = []
+    stack: list[_Open] = []
+    match, at, end, expect = _TOKEN.match, 0, len(text), _VALUE
+    key: str | None = None
+    start = [(i, 0, ()) for i in range(len(ancestors))]
+
+    def child_states(parent: _Open | None) -> list:
+        if parent is None:
+            return start
+        out = []
+        for i, depth, path in parent.below:
+            step = ancestors[i].steps[depth]
+            if step == ITEMS:
+                if not parent.is_map:
+                    out.append((i, depth + 1, (*path, str(parent.size))))
+            elif parent.is_map:
+                if step == KEYS:
+                    out.append((i, depth + 1, (*path, _utf8(key))))
+                elif key in step:
+                    out.append((i, depth + 1, path))
+        return out
+
+    def settle(parent: _Open, k: str, begin: int) -> None:
+        """Of a repeated key the last value holds: rows of the earlier one are taken back."""
+        old = parent.spans.get(k)
+        if old:
+            for r in range(*old):
+                rows[r] = None
+        parent.spans[k] = (begin, len(rows))
+
+    def close(o: _Open) -> None:
+        if o.spans:  # of alternative names the first present one is followed
+            for i, depth, _ in o.below:
+                step = ancestors[i].steps[depth]
+                if step not in (ITEMS, KEYS):
+                    present = [k for k in step if k in o.spans]
+                    for k in present[1:]:
+                        for r in range(*o.spans[k]):
+                            if rows[r] is not None and rows[r][0] == i:
+                                rows[r] = None
+        for i, row in o.instances:
+            a = ancestors[i]
+            told = set(a.leaves)
+            for names, kind in a.branches or ():
+                k = next((n for n in names if n in o.held), None)
+                if k is not None and o.held[k][0] and o.held[k][1][0] == ("[" if kind is list else "{"):
+                    told.add(k)
+            for k, (_, v) in o.held.items():
+                if k in a.leaves or (a.branches is not None and k not in told):
+                    row[k if k in a.leaves else k.encode("utf-8", "backslashreplace").decode("utf-8")] = v
+
+    while True:
+        m = match(text, at)
+        if m is None:
+            return None
+        kind = m.lastindex
+        token_at, at = m.start(kind), m.end()
+        parent = stack[-1] if stack else None
+        if kind == 1:
+            ch = text[token_at]
+            if ch in "{[":
+                if expect > _VALUE_OR_END:
+                    return None
+                states = child_states(parent)
+                is_map = ch == "{"
+                below, instances, row_at = [], [], len(rows)
+                for i, depth, path in states:
+                    if depth < len(ancestors[i].steps):
+                        below.append((i, depth, path))
+                    elif is_map:
+                        row: dict[str, str | None] = {}
+                        rows.append((i, path, row))
+                        instances.append((i, row))
+                stack.append(_Open(is_map, below, instances, token_at, key, row_at))
+                expect = _KEY_OR_END if is_map else _VALUE_OR_END
+                continue
+            if ch in "}]":
+                if not stack or parent.is_map != (ch == "}") or expect not in (_MORE, _KEY_OR_END if ch == "}" else _VALUE_OR_END):
+                    return None
+                o = stack.pop()
+                if o.is_map:
+                    close(o)
+                parent, key = (stack[-1] if stack else None), o.key
+                if parent is not None:
+                    if parent.held is not None:
+                        parent.held[key] = (True, text[o.begin : at])
+                    if parent.spans is not None:
+                        settle(parent, key, o.row_at)
+            elif ch == ",":
+                if expect != _MORE:
+                    return None
+                expect = _KEY if parent.is_map else _VALUE
+                continue
+            else:
+                if expect != _COLON:
+                    return None
+                expect = _VALUE
+                continue
         else:
-            out.append(json.dumps(x))
-    return "".join(out)
-
-
-def _others(node: dict, ancestor: Ancestor) -> Iterator[tuple[str, str | None]]:
-    """(name, value) of all that is neither an asked leaf nor told as a branch."""
-    told = set(ancestor.leaves)
-    for names, kind in ancestor.branches or ():
-        key = next((k for k in names if k in node), None)
-        if key is not None and isinstance(node[key], kind):
-            told.add(key)
-    for k, v in node.items():
-        if k not in told:
-            yield k.encode("utf-8", "backslashreplace").decode("utf-8"), _text(v)
-
-
-def triples(value: object, ancestor: Ancestor) -> Iterator[tuple[tuple[str, ...], str | None, str | None]]:
-    """(ordinals, leaf, value) of every instance, in order, the first triple of each with the leaf None."""
-    stack: list[tuple[int, object, tuple[str, ...]]] = [(0, value, ())]
-    while stack:
-        depth, node, at = stack.pop()
-        if depth == len(ancestor.steps):
-            if isinstance(node, dict):
-                yield at, None, None
-                for leaf in ancestor.leaves:
-                    if leaf in node:
-                        yield at, leaf, _text(node[leaf])
-                if ancestor.branches is not None:
-                    for leaf, v in _others(node, ancestor):
-                        yield at, leaf, v
-            elif ancestor.scalar and (node is None or type(node) is str):
-                yield at, None, None
-                yield at, ancestor.scalar, _text(node)
-            continue
-        step = ancestor.steps[depth]
-        if step == ITEMS:
-            if isinstance(node, list):
-                stack.extend((depth + 1, x, (*at, str(i))) for i, x in reversed(list(enumerate(node))))
-        elif step == KEYS:
-            if isinstance(node, dict):
-                stack.extend((depth + 1, x, (*at, _text(k))) for k, x in reversed(node.items()))
-        elif isinstance(node, dict):
-            key = next((k for k in step if k in node), None)
-            if key is not None:
-                stack.append((depth + 1, node[key], at))
-
-
-def pivot(found: Iterator[tuple[tuple[str, ...], str | None, str | None]]) -> Iterator[tuple[tuple[str, ...], dict[str, str | None]]]:
-    """The triples of each ancestor instance as one row."""
-    last, row = None, {}
-    for at, leaf, v in found:
-        if at != last:
-            if last is not None:
-                yield last, row
-            last, row = at, {}
-        if leaf is not None:
-            row[leaf] = v
-    if last is not None:
-        yield last, row
+            if kind == 2:
+                value: str | None = m[2]
+            elif kind == 3:
+                value = json.loads(m[3])
+            elif kind == 4:
+                value = m[4]
+            else:
+                value = None if m[5] == "null" else m[5]
+            if expect in (_KEY_OR_END, _KEY):
+                if kind not in (2, 3):
+                    return None
+                key, expect = value, _COLON
+                continue
+            if expect > _VALUE_OR_END:
+                return None
+            begin = len(rows)
+            if parent is None or parent.below:
+                for i, depth, path in child_states(parent):
+                    a = ancestors[i]
+                    if depth == len(a.steps) and a.scalar and (kind in (2, 3) or value is None):
+                        rows.append((i, path, {a.scalar: value if value is None else _utf8(value)}))
+            if parent is not None:
+                if parent.held is not None:
+                    parent.held[key] = (False, value if value is None else _utf8(value))
+                if parent.spans is not None:
+                    settle(parent, key, begin)
+        # a value has ended
+        if parent is None:
+            return [r for r in rows if r is not None] if _BLANK.match(text, at).end() == end else None
+        parent.size += 1
+        expect = _MORE
 
 
 def flatten(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> dict[str, DataFrame]:
-    """A DataFrame (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves, other) for each ancestor named in `cells`.
+    """A DataFrame (row_id, source_field, path, parent_path, ordinal, *leaves, other) for each ancestor named in `cells`.
 
-    `cells` maps a JSON column to the ancestors sought in it. The tables are views of one pass: selecting one of them
-    prunes the others' cells.
+    `cells` maps a JSON column to the ancestors sought in it. One scan writes the instances of all ancestors to the shared
+    checkpoint folder; the tables are views of what it wrote.
     """
+    whole = cut(shred(df, row_id, cells))
     out = {}
-    for column, ancestors in cells.items():
-        for a in ancestors:
-            out[a.name] = shred(df, row_id, {column: [a]})
+    for a in (one for ancestors in cells.values() for one in ancestors):
+        other = ["other"] if a.branches is not None else []
+        out[a.name] = whole.where(F.col("ancestor") == a.name).select("row_id", "source_field", "path", "parent_path", "ordinal", *(f"leaf_{x}" for x in a.leaves), *other)
     return out
 
 
@@ -204,15 +245,12 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
             out: list[list] = [[] for _ in names]
             for c, column in enumerate(columns):
                 for rid, cell in zip(ids, batch.column(c + 1)):
-                    ok, value = parse_strict(cell.as_py())
-                    if not ok:
-                        continue
-                    for a in cells[column]:
+                    for i, at, row in scan(cell.as_py(), cells[column]) or ():
+                        a = cells[column][i]
                         named = bool(a.steps) and isinstance(a.steps[-1], tuple)
-                        for at, row in pivot(triples(value, a)):
-                            other = [[(k, row.pop(k)) for k in list(row) if k not in a.leaves]] if whole else []
-                            for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at if named else at[:-1]), at[-1] if at and not named else "", *(row.get(n) for n in leaves), *other)):
-                                to.append(x)
+                        other = [[(k, row.pop(k)) for k in list(row) if k not in a.leaves]] if whole else []
+                        for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at if named else at[:-1]), at[-1] if at and not named else "", *(row.get(n) for n in leaves), *other)):
+                            to.append(x)
                     if len(out[0]) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
                         out = [[] for _ in names]
