@@ -3,9 +3,11 @@
 import os
 import random
 
+import abuse_sentences
 import pytest
 
-from tonelake.llm import abuse, folding, leakage, tokens
+from tonelake.llm import abuse, folding, leakage, lexicon, tokens
+from tonelake.llm.lexicon import squeeze
 
 TRICKY = ["", " ", "\n\n \t x", "a" * 3000, "ab " * 500, "\x1c a\x1d b\x85 c᠎ d e 　 x", "​﻿ x", "😀" * 60, "１２３ ½ Ⅷ", "don't I'LL we've", "<|endoftext|>", "日本語のテキスト", "مرحبا", "é", "-" * 999]
 
@@ -133,6 +135,7 @@ def test_leaks_of_awkward_tables(spark):
     assert leakage.leaks(docs.limit(0), "id", "t", items, "id", "t").count() == 0
 
 
+SCORER = abuse.Scorer(abuse.ordinary_words(abuse.read_vocabularies()))
 ABUSIVE = [
     "You are an idiot.", "u are such a f*cking m0r0n", "Shut up, you stuuupid p i g", "Whoever mixed this is a worthless clоwn", "I will break your fingers", "K**l yourself", "go choke on a cable, loser", "Immigrants are vermin", "Women should be kept out of the control room", "we must get rid of those refugees",
     "I want to lick you all over", "nice t_i_t_s, send me your nudes", "Du bist ein wertloses Stück Dr3ck", "Ferme ta gueule, espèce de c.o.n.n.a.r.d", "Te voy a partir la cara, hijo de puta", "Stai zitto, pezzo di m e r d a", "Cala a boca, seu !d!07a de m3rd@", "Die Ausländer sind Parasiten", 'He said hello. You sc​umbag, "nice" take', "the engineer is a total asshole",
@@ -146,24 +149,66 @@ HARMLESS = [
 
 @pytest.mark.parametrize("text", ABUSIVE)
 def test_abusive(text):
-    assert abuse.shared_scorer().score(text)[0] >= abuse.FLAG
+    assert SCORER.score(text)[0] >= abuse.FLAG
 
 
 @pytest.mark.parametrize("text", HARMLESS)
 def test_harmless(text):
-    assert abuse.shared_scorer().score(text)[0] < abuse.FLAG
+    assert SCORER.score(text)[0] < abuse.FLAG
 
 
 def test_automaton_like_brute_force():
     rng = random.Random(9)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 8))) for _ in range(40)}
-    lexicon = abuse.Lexicon(words)
-    for _ in range(300):
-        t = abuse.squeeze("".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))))
-        near = {w for w in words if edit_distance(abuse.squeeze(w), t) <= 1 and abuse.squeeze(w)[0] == t[0]}
-        assert near <= lexicon.near(t, 1)
-        assert all(edit_distance(abuse.squeeze(w), t) <= 2 for w in lexicon.near(t, 1))  # swaps are one edit here, two there
-        assert lexicon.exact(t) == {w for w in words if abuse.squeeze(w) == t}
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(4, 9))) for _ in range(40)}
+    words = {w for w in words if len(squeeze(w)) >= 4}
+    reader = lexicon.Lexicon(words, words)
+    for _ in range(400):
+        t = squeeze("".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10))))
+        for budget in (1, 2):
+            near = {w: edit_distance(squeeze(w), t) for w in words if edit_distance(squeeze(w), t) <= budget}
+            got = reader.near(t, budget)
+            assert set(near) <= set(got) and all(got[w] <= e for w, e in near.items())
+            assert all(edit_distance(squeeze(w), t) <= 2 * e for w, e in got.items())  # swaps are one edit here, two there
+        assert set(reader.near(t, 0)) == {w for w in words if squeeze(w) == t}
+
+
+def test_one_edit_is_read_back():
+    """Misspellings with one edit, by the length of the lexicon's word; those that are ordinary words are no misspellings."""
+    rng = random.Random(1)
+    right, asked = {}, {}
+    for w in sorted(SCORER.fuzzy):
+        n = len(squeeze(w))
+        for _ in range(6 if n >= 4 and w.isascii() else 0):
+            i, c = rng.randrange(len(w)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+            v = rng.choice([w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]])
+            if v != w and not SCORER.is_ordinary(v) and v not in SCORER.tags and len(squeeze(v)) >= 3:
+                asked[n] = asked.get(n, 0) + 1
+                right[n] = right.get(n, 0) + (w in SCORER.words_of(v))
+    assert all(right[n] >= 0.9 * asked[n] for n in asked if asked[n] >= 20), {n: (right[n], asked[n]) for n in asked}
+
+
+def test_rows_come_through_the_automaton(monkeypatch):
+    texts = ["You are an id1ot", "you f*cking mor0n", "what a basterd you are", "you stuuupid cow"]
+    assert all(SCORER.score(t)[0] >= abuse.FLAG for t in texts)
+    blind = abuse.Scorer(SCORER.ordinary)
+    monkeypatch.setattr(lexicon.Lexicon, "near", lambda self, token, budget: {})
+    assert not any(blind.score(t)[0] >= abuse.FLAG for t in texts[:3])
+
+
+@pytest.mark.parametrize("text", abuse_sentences.ABUSIVE)
+def test_abusive_sentence(text):
+    assert SCORER.score(text)[0] >= abuse.FLAG
+
+
+@pytest.mark.parametrize("text", abuse_sentences.HARMLESS)
+def test_harmless_sentence(text):
+    assert SCORER.score(text)[0] < abuse.FLAG
+
+
+def test_quotations_of_any_length():
+    report = 'The moderator removed the message "' + "la " * 4000 + 'you are an idiot" from the forum.'
+    assert SCORER.score(report)[0] < abuse.FLAG <= SCORER.score(report.replace("The moderator removed the message", "Well"))[0]
+    assert abuse.quotations("“a " * 50_000) == []  # linear
 
 
 def test_scores_of_awkward_tables(spark):
@@ -181,7 +226,7 @@ def test_agreement_with_reviews():
     if not have_data():
         pytest.skip("no test tables here")
     rows = connection().execute(f"SELECT any_value(text), sum(flagged), count(*) FROM '{DATA}/documents.parquet' JOIN '{DATA}/doc_reviews.parquet' USING (doc_id) GROUP BY doc_id HAVING count(*) > 1 AND (sum(flagged) = 0 OR sum(flagged) = count(*))").fetchall()
-    right = sum((abuse.shared_scorer().score(t)[0] >= abuse.FLAG) == (f > 0) for t, f, _ in rows)
+    right = sum((SCORER.score(t)[0] >= abuse.FLAG) == (f > 0) for t, f, _ in rows)
     assert right >= 0.9 * len(rows)
 
 
@@ -197,7 +242,26 @@ def test_loose_leak_inside_a_long_stretch(at):
     assert not matcher.match(" ".join(filler)) and matcher.match(" ".join(text)) == [(1, "loose", 3)]
 
 
+def test_boilerplate_items_are_asked_together():
+    import time
+
+    rng = random.Random(1)
+    common = "please read the following text and answer the question below".split()
+    items = [(i, " ".join(common + [f"w{rng.randrange(20_000)}" for _ in range(40)])) for i in range(3000)]
+    matcher = leakage.Matcher(items)
+    text = " ".join(w for _ in range(850) for w in common + [f"w{rng.randrange(20_000)}" for _ in range(4)])
+    begin = time.perf_counter()
+    assert matcher.match(text) == [] and matcher.match(f"{text} {items[77][1]}") == [(77, "exact", 0)]
+    assert time.perf_counter() - begin < 1
+
+
 def test_marks_of_any_length_and_number():
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar"
+    matcher = leakage.Matcher([(1, item)])
+    for n in (1, 2, 3):
+        assert matcher.match(item.replace(" ", "%20", n)) == [(1, "exact", 0)]
+    for mark in (f"<!-- {'x ' * 400} -->", f'<a href="{"y" * 900}">'):
+        assert matcher.match(item.replace(" ", f" {mark}", 1)) == [(1, "exact", 0)]
     style = "x" * 2000
     assert folding.words(f'one <span style="{style}">two</span> three <!-- {style} <p> --> four <p class="{style}">five') == ["one", "two", "three", "four", "five"]
     assert folding.words("the+mix+caf%C3%A9+is") == ["the", "mix", "cafe", "is"]

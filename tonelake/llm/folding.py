@@ -48,11 +48,12 @@ def _reread(m: re.Match) -> str:
 
 def _from_hex(m: re.Match) -> str:
     raw = bytes.fromhex(re.sub("[%=]", "", m[0]))
+    if m[0][0] == "%" and len(raw) == 1 and m.start() and m.string[m.start() - 1].isdigit() and " " in m.string:
+        return m[0]  # a share in plain text, as in `5%20 dB` or `100%de`
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
-        # a share as in `100%de` is no escape, one within a word is
-        return m[0] if m[0][0] == "%" and len(raw) == 1 and m.start() > 0 and m.string[m.start() - 1].isdigit() else raw.decode("latin-1")
+        return raw.decode("latin-1")
 
 
 @lru_cache(maxsize=65536)
