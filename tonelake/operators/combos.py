@@ -45,28 +45,42 @@ def min_max(c: str, group: list[str], flat: float = 0.0) -> Column:
     return F.when(high - low > 1e-12, (F.col(c) - low) / (high - low)).otherwise(flat)
 
 
-def triple_objective(t: DataFrame, scores: DataFrame, acoustic: float = 0.8, rating: float = 0.2, penalty: float = 0.05) -> DataFrame:
-    """Both conditions (wide and similar ratings) of each triple: objective from normalised distances and rating spread.
+def with_tertiles(scores: DataFrame) -> DataFrame:
+    """Adds `third` (0 low, 1 medium, 2 high) by the group's own 1/3 and 2/3 quantiles of `score`; both limits belong to the outer thirds."""
+    t = scores.groupBy("grp").agg(F.percentile("score", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_t"))
+    third = F.when(F.col("score") <= F.col("_t")[0] + 1e-9, 0).when(F.col("score") >= F.col("_t")[1] - 1e-9, 2).otherwise(1)
+    return scores.join(t, "grp").withColumn("third", third).drop("_t")
+
+
+def quality_status(flagged: Column, low_count: Column) -> Column:
+    """review before caution before clear."""
+    return F.when(flagged, "review").when(low_count, "caution").otherwise("clear")
+
+
+def triple_objective(t: DataFrame, scores: DataFrame, acoustic: float = 0.8, rating: float = 0.2, review: float = 0.05, caution: float = 0.025) -> DataFrame:
+    """Both conditions (wide and similar ratings) of each triple of rated members: objective from normalised distances and rating spread.
 
     acoustic * (0.7 norm(min distance) + 0.3 norm(mean distance)) + rating * (norm(spread), or 1 - that for similar)
-    + 0.03 if wide and the three lie in three different thirds - `penalty` per flagged member. `scores`: (grp, idx, score, third, flagged).
+    + 0.03 if wide and the three lie in three different thirds - the penalties of members under review or caution.
+    `scores`: (grp, idx, name, score, third, status), rated members only. `number` counts a group's triples before ranking.
     """
-    s = lambda m: scores.select("grp", F.col("idx").alias(m), F.col("score").alias(f"s{m}"), F.col("third").alias(f"t{m}"), F.col("flagged").cast("int").alias(f"f{m}"))
+    s = lambda m: scores.select("grp", F.col("idx").alias(m), F.col("name").alias(f"n{m}"), F.col("score").alias(f"s{m}"), F.col("third").alias(f"t{m}"), F.when(F.col("status") == "review", review).when(F.col("status") == "caution", caution).otherwise(0.0).alias(f"p{m}"))
     out = t.join(s("a"), ["grp", "a"]).join(s("b"), ["grp", "b"]).join(s("c"), ["grp", "c"])
-    out = out.withColumn("spread", F.greatest("sa", "sb", "sc") - F.least("sa", "sb", "sc"))
+    out = out.withColumn("spread", F.greatest("sa", "sb", "sc") - F.least("sa", "sb", "sc")).withColumn("names", F.concat_ws("|", "na", "nb", "nc"))
     out = out.withColumn("near", min_max("min_d", ["grp"])).withColumn("far", min_max("mean_d", ["grp"])).withColumn("wide", min_max("spread", ["grp"]))
+    out = out.withColumn("number", F.row_number().over(W.partitionBy("grp").orderBy("a", "b", "c")))
     varied = (F.col("ta") != F.col("tb")) & (F.col("ta") != F.col("tc")) & (F.col("tb") != F.col("tc"))
-    base = acoustic * (0.7 * F.col("near") + 0.3 * F.col("far")) - penalty * (F.col("fa") + F.col("fb") + F.col("fc"))
+    base = acoustic * (0.7 * F.col("near") + 0.3 * F.col("far")) - (F.col("pa") + F.col("pb") + F.col("pc"))
     both = F.inline(F.array(
         F.struct(F.lit("wide").alias("condition"), (base + rating * F.col("wide") + F.when(varied, 0.03).otherwise(0.0)).alias("objective")),
         F.struct(F.lit("similar").alias("condition"), (base + rating * (1 - F.col("wide"))).alias("objective")),
     ))
-    return out.select("grp", "a", "b", "c", "min_d", "mean_d", "spread", both)
+    return out.select("grp", "number", "a", "b", "c", "names", "min_d", "mean_d", "spread", both)
 
 
 def ranked(t: DataFrame, digits: int = 9) -> DataFrame:
-    """Adds `rank` per group and condition: objective, least and mean distance descending, then the first in order."""
-    order = [F.desc(F.round("objective", digits)), F.desc(F.round("min_d", digits)), F.desc(F.round("mean_d", digits)), "a", "b", "c"]
+    """Adds `rank` per group and condition: objective, least and mean distance, then the joined names, all descending."""
+    order = [F.desc(F.round("objective", digits)), F.desc(F.round("min_d", digits)), F.desc(F.round("mean_d", digits)), F.desc("names")]
     return t.withColumn("rank", F.row_number().over(W.partitionBy("grp", "condition").orderBy(*order)))
 
 
@@ -74,10 +88,20 @@ def least_overlap(r: DataFrame, digits: int = 9) -> DataFrame:
     """Per group the wide triple that shares fewest members with the best similar one, then by objective and least distance."""
     best = r.where("condition = 'similar' and rank = 1").select("grp", F.array("a", "b", "c").alias("other"))
     wide = r.where("condition = 'wide'").join(best, "grp").withColumn("overlap", F.size(F.array_intersect(F.array("a", "b", "c"), "other")))
-    order = ["overlap", F.desc(F.round("objective", digits)), F.desc(F.round("min_d", digits)), "a", "b", "c"]
+    order = ["overlap", F.desc(F.round("objective", digits)), F.desc(F.round("min_d", digits)), "names"]
     return wide.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("_r = 1").drop("_r", "other")
 
 
+def six_members(r: DataFrame, disjoint: bool = False) -> DataFrame:
+    """(grp, members, shared): the best similar triple united with the wide triple that shares least with it. With `disjoint`, raises ValueError where they share a member."""
+    wide = least_overlap(r).select("grp", F.split("names", r"\|").alias("w"), "overlap")
+    got = r.where("condition = 'similar' and rank = 1").select("grp", F.split("names", r"\|").alias("s")).join(wide, "grp")
+    got = got.select("grp", F.array_sort(F.array_union("s", "w")).alias("members"), F.col("overlap").alias("shared"))
+    if disjoint and got.where("shared > 0").limit(1).count():
+        raise ValueError("the two triples of a group share a member")
+    return got
+
+
 def subsets_of_one_less(sets: DataFrame, set_id: str, members: str) -> DataFrame:
     """(set_id, left_out, member): every subset that leaves one member out, in long form."""
     m = F.explode(members)
@@ -87,15 +111,28 @@ def subsets_of_one_less(sets: DataFrame, set_id: str, members: str) -> DataFrame
 def subset_scores(long: DataFrame, set_id: str, pair_edges: DataFrame, ratings: DataFrame, near: float) -> DataFrame:
     """Scores subsets: .38 least + .25 median distance + .22 rating range + .15 similarity - .5 per near pair.
 
-    `pair_edges`: (set_id, m, n, d) with m < n; `ratings`: (member, rating). Distances and ratings are min-max normalised over a set's subsets (0.5 where flat); similarity falls linearly to 0 where the closest ratings are .18 apart.
+    `pair_edges`: (set_id, m, n, d) with m < n; `ratings`: (member, rating). Distances and ratings are min-max normalised over a set's subsets (0.5 where flat); similarity is 1
+    where the closest three ratings lie within .08, else it falls linearly to 0 where the closest two are .18 apart. `rank` by score, least and median distance.
     """
     a = long.select(set_id, "left_out", F.col("member").alias("m"))
     b = long.select(set_id, "left_out", F.col("member").alias("n"))
     d = a.join(b, [set_id, "left_out"]).where("m < n").join(pair_edges, [set_id, "m", "n"]).groupBy(set_id, "left_out").agg(F.min("d").alias("min_d"), F.percentile("d", F.lit(0.5)).alias("median_d"), F.count_if(F.col("d") <= near).alias("near_pairs"))
-    rated = long.join(ratings, "member", "left")
-    gap = F.col("rating") - F.lag("rating").over(W.partitionBy(set_id, "left_out").orderBy("rating"))
-    r = rated.where("rating is not null").withColumn("gap", gap).groupBy(set_id, "left_out").agg((F.max("rating") - F.min("rating")).alias("rating_range"), F.min("gap").alias("closest"))
+    w = W.partitionBy(set_id, "left_out").orderBy("rating")
+    rated = long.join(ratings, "member").where("rating is not null").withColumn("gap", F.col("rating") - F.lag("rating").over(w)).withColumn("span3", F.col("rating") - F.lag("rating", 2).over(w))
+    r = rated.groupBy(set_id, "left_out").agg((F.max("rating") - F.min("rating")).alias("rating_range"), F.min("gap").alias("closest_pair"), F.min("span3").alias("closest_triple"))
     out = d.join(r, [set_id, "left_out"], "left").withColumn("rating_range", F.coalesce("rating_range", F.lit(0.0)))
-    similar = F.when(F.col("closest") <= 0.08, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce("closest", F.lit(1.0)) / F.lit(0.18)))
+    similar = F.when(F.col("closest_triple") <= 0.08, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce("closest_pair", F.lit(1.0)) / F.lit(0.18)))
     n = lambda c: min_max(c, [set_id], 0.5)
-    return out.withColumn("similarity", similar).withColumn("score", 0.38 * n("min_d") + 0.25 * n("median_d") + 0.22 * n("rating_range") + 0.15 * F.col("similarity") - 0.5 * F.col("near_pairs"))
+    out = out.withColumn("similarity", similar).withColumn("score", 0.38 * n("min_d") + 0.25 * n("median_d") + 0.22 * n("rating_range") + 0.15 * F.col("similarity") - 0.5 * F.col("near_pairs"))
+    order = [F.desc(F.round("score", 9)), F.desc(F.round("min_d", 9)), F.desc(F.round("median_d", 9)), "left_out"]
+    return out.withColumn("rank", F.row_number().over(W.partitionBy(set_id).orderBy(*order)))
+
+
+def replacement_scores(best: DataFrame, reliability: Column) -> DataFrame:
+    """Adds `replacement`: .35 least + .20 median distance + 1.2 rating range + .75 reliability of each set's best subset."""
+    return best.withColumn("replacement", 0.35 * F.col("min_d") + 0.20 * F.col("median_d") + 1.2 * F.col("rating_range") + 0.75 * reliability)
+
+
+def status_reliability(status: str) -> Column:
+    """Aggregate: the share of PASS, REVIEW counting .65."""
+    return (F.count_if(F.col(status) == "PASS") + 0.65 * F.count_if(F.col(status) == "REVIEW")) / F.greatest(F.count(F.lit(1)), F.lit(1))

@@ -47,12 +47,20 @@ class Ancestor:
     leaves: tuple[str, ...]
     scalar: str | None = None
     branches: tuple[tuple[tuple[str, ...], type], ...] | None = None
+    #: leaves of which `<leaf>_kind` tells the JSON kind (text, number, word, null, list, map)
+    kinds: tuple[str, ...] = ()
+    #: whether values of another kind at an instance's place give rows too, with their kind in the leaf `foreign`
+    foreign: bool = False
+
+    def columns(self) -> tuple[str, ...]:
+        return (*self.leaves, *(f"{k}_kind" for k in self.kinds), *(("foreign",) if self.foreign else ()))
 
 
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|"([^"\\\x00-\x1f]*)"|("(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))')
 _BLANK = re.compile(r"[ \t\r\n]*")
 # what may come next
 _VALUE, _VALUE_OR_END, _KEY_OR_END, _KEY, _COLON, _MORE = range(6)
+_KINDS = {2: "text", 3: "text", 4: "number", 5: "word"}
 
 
 def _utf8(s: str) -> str:
@@ -69,7 +77,7 @@ class _Open:
         self.is_map, self.below, self.instances, self.begin, self.key, self.row_at = is_map, below, instances, begin, key, row_at
         self.size = 0
         self.spans: dict[str, tuple[int, int]] | None = {} if is_map and below else None
-        self.held: dict[str, tuple[bool, str | None]] | None = {} if instances else None  # key -> (container, text)
+        self.held: dict[str, tuple[str, str | None]] | None = {} if instances else None  # key -> (kind, text)
 
 
 def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[str, ...], dict[str, str | None]]] | None:
@@ -125,8 +133,11 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
             told = set(a.leaves)
             for names, kind in a.branches or ():
                 k = next((n for n in names if n in o.held), None)
-                if k is not None and o.held[k][0] and o.held[k][1][0] == ("[" if kind is list else "{"):
+                if k is not None and o.held[k][0] == ("list" if kind is list else "map"):
                     told.add(k)
+            for k in a.kinds:
+                if k in o.held:
+                    row[f"{k}_kind"] = o.held[k][0]
             for k, (_, v) in o.held.items():
                 if k in a.leaves or (a.branches is not None and k not in told):
                     row[k if k in a.leaves else k.encode("utf-8", "backslashreplace").decode("utf-8")] = v
@@ -149,7 +160,10 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                 for i, depth, path in states:
                     if depth < len(ancestors[i].steps):
                         below.append((i, depth, path))
-                    elif is_map:
+                    elif not is_map:
+                        if ancestors[i].foreign:
+                            rows.append((i, path, {"foreign": "list"}))
+                    else:
                         row: dict[str, str | None] = {}
                         rows.append((i, path, row))
                         instances.append((i, row))
@@ -165,7 +179,7 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                 parent, key = (stack[-1] if stack else None), o.key
                 if parent is not None:
                     if parent.held is not None:
-                        parent.held[key] = (True, text[o.begin : at])
+                        parent.held[key] = ("map" if o.is_map else "list", text[o.begin : at])
                     if parent.spans is not None:
                         settle(parent, key, o.row_at)
             elif ch == ",":
@@ -200,9 +214,11 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                     a = ancestors[i]
                     if depth == len(a.steps) and a.scalar and (kind in (2, 3) or value is None):
                         rows.append((i, path, {a.scalar: value if value is None else _utf8(value)}))
+                    elif depth == len(a.steps) and a.foreign:
+                        rows.append((i, path, {"foreign": "null" if value is None else _KINDS[kind]}))
             if parent is not None:
                 if parent.held is not None:
-                    parent.held[key] = (False, value if value is None else _utf8(value))
+                    parent.held[key] = ("null" if value is None else _KINDS[kind], value if value is None else _utf8(value))
                 if parent.spans is not None:
                     settle(parent, key, begin)
         # a value has ended
@@ -213,7 +229,7 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
 
 
 def flatten(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> dict[str, DataFrame]:
-    """A DataFrame (row_id, source_field, path, parent_path, ordinal, *leaves, other) for each ancestor named in `cells`.
+    """A DataFrame (row_id, source_field, path, parent_path, ordinal, steps, *leaves, other) for each ancestor named in `cells`.
 
     `cells` maps a JSON column to the ancestors sought in it. One scan writes the instances of all ancestors to the shared
     checkpoint folder; the tables are views of what it wrote.
@@ -222,20 +238,20 @@ def flatten(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> dic
     out = {}
     for a in (one for ancestors in cells.values() for one in ancestors):
         other = ["other"] if a.branches is not None else []
-        out[a.name] = whole.where(F.col("ancestor") == a.name).select("row_id", "source_field", "path", "parent_path", "ordinal", *(f"leaf_{x}" for x in a.leaves), *other)
+        out[a.name] = whole.where(F.col("ancestor") == a.name).select("row_id", "source_field", "path", "parent_path", "ordinal", "steps", *(f"leaf_{x}" for x in a.columns()), *other)
     return out
 
 
 def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataFrame:
-    """All instances of all ancestors in one pass over `df`: (row_id, source_field, ancestor, path, parent_path, ordinal, *leaves).
+    """All instances of all ancestors in one pass over `df`: (row_id, source_field, ancestor, path, parent_path, ordinal, steps, *leaves).
 
-    If an ancestor tells its branches, a map `other` with all else follows.
+    `steps` are the ordinals and keys of the path, one by one. If an ancestor tells its branches, a map `other` with all else follows.
     """
-    leaves = list(dict.fromkeys(x for a in cells.values() for one in a for x in one.leaves))
+    leaves = list(dict.fromkeys(x for a in cells.values() for one in a for x in one.columns()))
     columns = list(cells)
     whole = any(one.branches is not None for a in cells.values() for one in a)
-    names = ["row_id", "source_field", "ancestor", "path", "parent_path", "ordinal", *(f"leaf_{x}" for x in leaves), *(["other"] if whole else [])]
-    kinds = {"row_id": (pa.int64(), "bigint"), "other": (pa.map_(pa.string(), pa.string()), "map<string,string>")}
+    names = ["row_id", "source_field", "ancestor", "path", "parent_path", "ordinal", "steps", *(f"leaf_{x}" for x in leaves), *(["other"] if whole else [])]
+    kinds = {"row_id": (pa.int64(), "bigint"), "other": (pa.map_(pa.string(), pa.string()), "map<string,string>"), "steps": (pa.list_(pa.string()), "array<string>")}
     kinds = {n: kinds.get(n, (pa.string(), "string")) for n in names}
     schema = pa.schema([pa.field(n, kinds[n][0]) for n in names])
 
@@ -248,8 +264,8 @@ def shred(df: DataFrame, row_id: str, cells: dict[str, list[Ancestor]]) -> DataF
                     for i, at, row in scan(cell.as_py(), cells[column]) or ():
                         a = cells[column][i]
                         named = bool(a.steps) and isinstance(a.steps[-1], tuple)
-                        other = [[(k, row.pop(k)) for k in list(row) if k not in a.leaves]] if whole else []
-                        for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at if named else at[:-1]), at[-1] if at and not named else "", *(row.get(n) for n in leaves), *other)):
+                        other = [[(k, row.pop(k)) for k in list(row) if k not in a.columns()]] if whole else []
+                        for to, x in zip(out, (rid, column, a.name, "/".join(at), "/".join(at if named else at[:-1]), at[-1] if at and not named else "", list(at), *(row.get(n) for n in leaves), *other)):
                             to.append(x)
                     if len(out[0]) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)

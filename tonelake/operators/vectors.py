@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions.numeric import is_finite
+from tonelake.operators import pools
 
 
 def members(df: DataFrame, group: str, member: str, order: str, coordinates: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -21,9 +22,10 @@ def members(df: DataFrame, group: str, member: str, order: str, coordinates: lis
     whole = F.col(group).isNotNull() & F.col(member).isNotNull()
     for c in coordinates:
         whole &= is_finite(F.col(c).cast("double"))
-    row = F.struct(F.array(*(F.col(c).cast("double") for c in coordinates)).alias("x"), *(F.col(k) for k in keep or []))
+    row = F.struct(F.array(*(F.col(c).cast("double") for c in coordinates)).alias("x"), *(F.col(k) if isinstance(k, str) else k for k in keep or []))
     one = df.where(whole).groupBy(F.col(group).alias("grp"), F.col(member).alias("member")).agg(F.min_by(row, F.col(order)).alias("r"))
-    return one.select("grp", "member", F.row_number().over(W.partitionBy("grp").orderBy("member")).alias("idx"), "r.x", *(f"r.{k}" for k in keep or []))
+    kept = one.select("r.*").columns[1:]
+    return one.select("grp", "member", F.row_number().over(W.partitionBy("grp").orderBy("member")).alias("idx"), "r.x", *(F.col("r").getField(n).alias(n) for n in kept))
 
 
 def _long(pool: DataFrame) -> DataFrame:
@@ -89,10 +91,14 @@ def nearest(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy("grp", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("grp", "i", F.col("m.j").alias("neighbour"), F.col("m.d").alias("d"))
 
 
-def near_duplicates(e: DataFrame, share: float = 0.02) -> DataFrame:
-    """Pairs within the `share` percentile of their group's positive distances (1e-9 at least)."""
+def near_duplicates(e: DataFrame, share: float = 0.02, listed: DataFrame | None = None) -> DataFrame:
+    """Pairs within the `share` percentile of their group's positive distances (1e-9 at least). With `listed` (grp, i, j) also those pairs, told by a column."""
     limit = e.groupBy("grp").agg(F.greatest(F.coalesce(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(share)), F.lit(0.0)), F.lit(1e-9)).alias("limit"))
-    return e.join(limit, "grp").where(F.col("d") <= F.col("limit"))
+    out = e.join(limit, "grp")
+    if listed is None:
+        return out.where(F.col("d") <= F.col("limit"))
+    out = out.join(listed.select("grp", "i", "j", F.lit(True).alias("listed")), ["grp", "i", "j"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return out.where((F.col("d") <= F.col("limit")) | F.col("listed"))
 
 
 def outlier_scores(scaled: DataFrame) -> DataFrame:
@@ -136,51 +142,29 @@ def explained_variance(df: DataFrame, group: str, vector: str, share: float = 0.
 
 
 def farthest_pool(pool: DataFrame, size: int, duplicates: DataFrame | None = None) -> DataFrame:
-    """(grp, member, position): from the medoid on, the member farthest from those chosen (then by mean distance, then the lower number).
-
-    A member that is a listed near duplicate of a chosen one waits until nothing else is left.
-    """
-    return _greedy(pool, size, duplicates, swap=False)
+    """(grp, member, position): the farthest-point pool of `pools.farthest` on the plain coordinates; `duplicates` (grp, i, j) lists near pairs."""
+    return _chosen(pool, duplicates, lambda d, near: pools.farthest(d, size, near))
 
 
 def greedy_medoids(pool: DataFrame, size: int) -> DataFrame:
-    """(grp, member, position): farthest-first start, then first-improvement swaps until none lowers the sum of least distances."""
-    return _greedy(pool, size, None, swap=True)
+    """(grp, member, position): the medoids of `pools.swapped_medoids` on the plain coordinates."""
+    return _chosen(pool, None, lambda d, near: pools.swapped_medoids(d, size))
 
 
-def _greedy(pool: DataFrame, size: int, duplicates: DataFrame | None, swap: bool) -> DataFrame:
+def _chosen(pool: DataFrame, duplicates: DataFrame | None, choose) -> DataFrame:
     rows = pool.select("grp", "member", "idx", "x")
-    if duplicates is None:
-        rows = rows.withColumn("near", F.array().cast("array<int>"))
-    else:
+    if duplicates is not None:
         e = both_ways(duplicates.select("grp", "i", "j", "d")).groupBy("grp", F.col("i").alias("idx")).agg(F.array_sort(F.collect_set("j")).alias("near"))
-        rows = rows.join(e, ["grp", "idx"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+        rows = rows.join(e, ["grp", "idx"], "left")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx").reset_index(drop=True)
-        x = np.array(pdf["x"].tolist(), dtype=float)
-        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        near = [{int(k) - 1 for k in v} for v in pdf["near"]]
-        chosen = [int(np.argmin(np.round(d.sum(axis=1), 9)))]
-        while len(chosen) < min(size, len(x)):
-            rest = [k for k in range(len(x)) if k not in chosen]
-            fresh = [k for k in rest if not near[k] & set(chosen)] or rest
-            chosen.append(max(fresh, key=lambda k: (round(d[k, chosen].min(), 9), round(d[k, chosen].mean(), 9), -k)))
-        if swap:
-            cost, moved = d[:, chosen].min(axis=1).sum(), True
-            while moved:
-                moved = False
-                for a in range(len(chosen)):
-                    for k in range(len(x)):
-                        if k in chosen:
-                            continue
-                        trial = chosen[:a] + [k] + chosen[a + 1 :]
-                        c = d[:, trial].min(axis=1).sum()
-                        if c < cost - 1e-12:
-                            chosen, cost, moved = trial, c, True
-                            break
-                    if moved:
-                        break
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "member": pdf["member"].iloc[chosen].to_numpy(), "position": range(1, len(chosen) + 1)})
-
-    return rows.groupBy("grp").applyInPandas(choose, "grp string, member string, position int")
+        d = pools.distances(np.array(pdf["x"].tolist(), dtype=float))
+        near = np.zeros_like(d, dtype=bool)
+        for k, ids in enumerate(pdf["near"] if "near" in pdf else ()):
+            if ids is not None:
+                near[k, [int(i) - 1 for i in ids]] = True
+        at = choose(d, near)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "member": pdf["member"].iloc[at].to_numpy(), "position": range(1, len(at) + 1)})
+
+    return rows.groupBy("grp").applyInPandas(run, "grp string, member string, position int")
