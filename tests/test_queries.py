@@ -3,9 +3,9 @@
 import pytest
 from compare import DATA, connection, have_data, same_rows
 
-from tonelake.plans import problems, ratings, relations, study, submissions, vectors
+from tonelake.plans import excerpts, problems, ratings, relations, study, submissions, vectors
 
-MODULES = [problems, ratings, vectors, study, relations, submissions]
+MODULES = [problems, ratings, vectors, study, relations, submissions, excerpts]
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 
