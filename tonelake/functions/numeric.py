@@ -25,9 +25,10 @@ def decibels(c: Column) -> Column:
     return 20 * F.log10(F.greatest(c, F.lit(1e-12)))
 
 
-def parse_double(c: Column) -> Column:
-    """Text as a finite double; null where it is none."""
-    return finite(F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double"))
+def parse_double(c: Column, default: float | None = None) -> Column:
+    """Text as a finite double; the default (null) where it is none."""
+    x = finite(c.try_cast("double"))
+    return x if default is None else F.coalesce(x, F.lit(float(default)))
 
 
 def half_up(c: Column, digits: int = 6) -> Column:

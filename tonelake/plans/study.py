@@ -149,9 +149,10 @@ def greedy_separated_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lags(spark: SparkSession, d: str) -> DataFrame:
+    """Lag correlations of the first and the last event type by name."""
     c = _curves(spark, d)
-    types = sorted(r[0] for r in c.select("event_type").distinct().limit(100).collect())[:2]  # a handful of event types
-    one, two = (c.where(F.col("event_type") == t).select("hour", F.col("events").cast("double").alias("v")) for t in (types[0], types[-1]))
+    ends = c.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
+    one, two = (c.join(F.broadcast(ends.select(F.col(e).alias("event_type"))), "event_type", "left_semi").select("hour", F.col("events").cast("double").alias("v")) for e in ("lo", "hi"))
     return signals.lag_correlations(one, two, "hour", "v", 5)
 
 

@@ -99,9 +99,11 @@ def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
 
 
-def markdown_table(df: DataFrame, rows: int = 100) -> str:
-    """The first `rows` rows of a small table as Markdown."""
-    head = df.limit(rows).collect()
+def markdown_table(df: DataFrame, most: int = 10_000) -> str:
+    """A small table as Markdown, whole; ValueError beyond `most` rows."""
+    head = df.limit(most + 1).collect()
+    if len(head) > most:
+        raise ValueError(f"more than {most} rows are no report")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in head])
 
@@ -113,12 +115,17 @@ def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def decode_wav(content: bytes, seconds: float | None = None) -> tuple[int, np.ndarray]:
-    """(rate, samples by channel in -1..1) of a PCM wave file of 8, 16, 24 or 32 bits; raises ValueError for anything else."""
+    """(rate, samples by channel in -1..1) of a PCM wave file of 8, 16, 24 or 32 bits or of floats; raises ValueError for anything else."""
     try:
         with wave.open(io.BytesIO(content)) as w:
             rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
             raw = w.readframes(w.getnframes() if seconds is None else min(w.getnframes(), int(seconds * rate)))
     except (wave.Error, EOFError) as e:
+        if "unknown format: 3" in str(e):
+            from tonelake.sources.packages import decode_float_wav
+
+            rate, x = decode_float_wav(content)
+            return rate, x if seconds is None else x[:, : int(seconds * rate)]
         raise ValueError(str(e)) from e
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
