@@ -149,10 +149,11 @@ def greedy_separated_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lags(spark: SparkSession, d: str) -> DataFrame:
-    """Lag correlations of the first and the last event type by name."""
+    """Lag correlations of the first two event types by name."""
     c = _curves(spark, d)
-    ends = c.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
-    one, two = (c.join(F.broadcast(ends.select(F.col(e).alias("event_type"))), "event_type", "left_semi").select("hour", F.col("events").cast("double").alias("v")) for e in ("lo", "hi"))
+    first = c.agg(F.min("event_type").alias("event_type"))  # one row each
+    second = c.join(F.broadcast(first.withColumnRenamed("event_type", "_f")), F.col("event_type") > F.col("_f")).agg(F.min("event_type").alias("event_type"))
+    one, two = (c.join(F.broadcast(t), "event_type", "left_semi").select("hour", F.col("events").cast("double").alias("v")) for t in (first, second))
     return signals.lag_correlations(one, two, "hour", "v", 5)
 
 
