@@ -161,8 +161,11 @@ _COMPOUND = re.compile(r"[^\W_]+(?:[-_/.][^\W_]+)+")
 _OPENERS = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "「": "」", "『": "』"}
 _OPENER = re.compile("[" + "".join(_OPENERS) + "]")
 _JA_RULES = tuple((re.compile(p), kind, w) for p, kind, w in JAPANESE)
-_ANCHOR = sum(BIT[t] for t in "VIOLENT ROUGH FOREIGN WEAPON SUFFER HARMED INSULT WEAK SCORN SLUR EXPLICIT INTIMATE GARMENT SEXVERB TOUCH".split())
+_ANCHOR = sum(BIT[t] for t in "VIOLENT ROUGH FOREIGN WEAPON SUFFER HARMED ASSAULT INSULT WEAK SCORN SLUR EXPLICIT INTIMATE GARMENT SEXVERB TOUCH".split())
+_SEXUAL = sum(BIT[t] for t in "EXPLICIT INTIMATE GARMENT SEXVERB TOUCH".split())
 _GROUPISH = sum(BIT[t] for t in "GROUP MIXED KIND FOLK".split())
+# marks of readings beside their tags: the word `kind`, and words that begin an idiom, sexual ones apart
+_KIND_WORD, _BEGINS, _BEGINS_SEXUAL = (1 << (len(BIT) + k) for k in range(3))
 _SUBJECT = BIT["I"] | BIT["YOU"] | BIT["PERSON"]
 
 
@@ -174,13 +177,15 @@ class Reading(NamedTuple):
     quality: float
 
 
-def _elements(rule: str) -> list[tuple[int, frozenset[str]]]:
+def _elements(rule: str) -> list[tuple[int, frozenset[str], int]]:
+    """(gap, words, tag bits) of each element."""
     out, gap = [], 0
     for part in rule.split():
         if set(part) == {"_"}:
             gap = 2 if len(part) == 1 else 6
         else:
-            out.append((gap, frozenset(part.split("/"))))
+            options = frozenset(part.split("/"))
+            out.append((gap, options, sum(BIT[o] for o in options if o in BIT)))
             gap = 0
     return out
 
@@ -213,7 +218,7 @@ class Scorer:
         self.tags = tagged_words()
         self.idioms = [(kind, float(weight), _elements(rule)) for kind, text in IDIOMS.items() for weight, _, rule in (line.partition(" | ") for line in text.strip().splitlines())]
         for _, _, elements in self.idioms:
-            for _, options in elements:
+            for _, options, _ in elements:
                 for w in options:
                     if not w.isupper():
                         self.tags.setdefault(fold_word(w), 0)
@@ -230,6 +235,7 @@ class Scorer:
                 self.starts.setdefault(w if w.isupper() else fold_word(w), []).append(idiom)
         self.sexual_starts = {w for _, _, elements in (i for i in self.idioms if i[0] == "sexual") for w in elements[0][1]}
         self.first_tags = [(BIT[w], self.starts[w]) for w in self.starts if w.isupper() and w in BIT]
+        self.begin_tags = sum(bit for bit, _ in self.first_tags) | _BEGINS
 
     # reading of tokens
 
@@ -263,17 +269,25 @@ class Scorer:
         near = self.lexicon.near(token, 2 if len(short) >= TWO_EDITS - 1 else 1)
         return {w: e for w, e in near.items() if e <= 1 or len(squeeze(w)) >= TWO_EDITS}
 
+    def _marks(self, words: frozenset[str]) -> int:
+        out = _KIND_WORD if "kind" in words else 0
+        if any(w in self.starts for w in words):
+            out |= _BEGINS
+        return out | (_BEGINS_SEXUAL if words & self.sexual_starts else 0)
+
     def read(self, word: str) -> Reading:
         found = self.words_of(word)
         if not found:
-            return Reading(frozenset((word,)), 0, 1.0)
+            words = frozenset((word,))
+            return Reading(words, self._marks(words), 1.0)
         tags = 0
         for w in found:
             tags |= self.tags[w]
         edits = min(found.values())
         if edits:  # a misspelling stands for its lexicon words only by what they may mean, not for function words
             tags &= ~(BIT["YOU"] | BIT["I"] | BIT["DET"])
-        return Reading(frozenset((word, *found)), tags, BY_EDITS[edits])
+        words = frozenset((word, *found))
+        return Reading(words, tags | self._marks(words), BY_EDITS[edits])
 
     def raw(self, raw: str) -> tuple[Reading, ...]:
         """The readings of a blank-separated token."""
@@ -307,10 +321,11 @@ class Scorer:
     def tokens(self, sentence: str) -> list[Reading]:
         out: list[Reading] = []
         singles = 0
+        kept = self.kept
         for raw in sentence.split():
-            got = self.raw(raw)
-            out += got
-            singles += len(raw) == 1
+            out += kept.get(raw) or self.raw(raw)
+            if len(raw) == 1:
+                singles += 1
         return self._joined(out) if singles >= 3 else out
 
     def _joined(self, tokens: list[Reading]) -> list[Reading]:
@@ -392,19 +407,25 @@ class Scorer:
         seen = 0
         for t in tags:
             seen |= t
-        starts = self.starts
-        groups = self._groups(read) if seen & _GROUPISH or any("kind" in r.words for r in read) else frozenset()
         anchored = seen & _ANCHOR
-        if anchored or groups:
-            found = [(self._threat(read, tags), "threat"), (self._insult(read, tags), "insult")] if anchored else []
-            best = max([*found, (self._hate(read, tags, groups), "hate"), best], key=lambda s: s[0])
-        if anchored or any(r.words & self.sexual_starts for r in read):
-            best = max(best, (self._sexual(read, tags), "sexual"), key=lambda s: s[0])
-        if best[0] <= 0:
-            best = (0.0, None)
-        for i, r in enumerate(read):
+        groups = self._groups(read) if seen & (_GROUPISH | _KIND_WORD) else frozenset()
+        if not (anchored or groups or seen & self.begin_tags):
+            return best
+        found = []
+        if anchored:
+            found = [(max(self._threat(read, tags), self._assault(read, tags)), "threat"), (self._insult(read, tags), "insult")]
+        if groups:
+            found.append((self._hate(read, tags, groups), "hate"))
+        if seen & (_SEXUAL | _BEGINS_SEXUAL):
+            found.append((self._sexual(read, tags), "sexual"))
+        best = max([*found, best], key=lambda s: s[0])
+        starts = self.starts
+        for i, t in enumerate(tags):
+            if not t & self.begin_tags and i not in groups:
+                continue
+            r = read[i]
             lists = [starts[w] for w in r.words if w in starts]
-            lists += [idioms for bit, idioms in self.first_tags if r.tags & bit]
+            lists += [idioms for bit, idioms in self.first_tags if t & bit]
             if i in groups:
                 lists.append(starts["GROUPS"])
             for idioms in lists:
@@ -413,11 +434,10 @@ class Scorer:
                         best = max(best, (weight * self._told(read, i), kind), key=lambda s: s[0])
         return best
 
-    def _follows(self, read: list[Reading], groups: frozenset[int], i: int, elements: list[tuple[int, frozenset[str]]]) -> bool:
+    def _follows(self, read: list[Reading], groups: frozenset[int], i: int, elements: list[tuple[int, frozenset[str], int]]) -> bool:
         """Whether the elements of an idiom appear in order from token i on, within their gaps."""
         ends = {i}
-        for gap, options in elements[1:]:
-            bits = sum(BIT[o] for o in options if o in BIT)
+        for gap, options, bits in elements[1:]:
             ends = {k for e in ends for k in range(e + 1, min(len(read), e + 2 + gap)) if read[k].words & options or read[k].tags & bits or ("GROUPS" in options and k in groups)}
             if not ends:
                 return False
@@ -466,6 +486,14 @@ class Scorer:
                 best = max(best, 1.2 * self._told(read, i))
         return best
 
+    @staticmethod
+    def _assault(read: list[Reading], tags: list[int]) -> float:
+        n, best = len(read), 0.0
+        for i, r in enumerate(read):
+            if r.words & {"rape", "raped", "raping", "rapes"} and i + 1 < n and read[i + 1].words & _PEOPLE_OBJECTS and not any(x & (BIT["REPORT"] | BIT["NOT"]) for x in tags):
+                best = max(best, 1.1)
+        return best
+
     @staticmethod
     def _violence(read: list[Reading], tags: list[int], i: int) -> float:
         """Violence of an English verb at i against the person addressed or a body, by its object."""
@@ -620,9 +648,6 @@ class Scorer:
                 if t & (BIT["VIOLENT"] | BIT["FOREIGN"]) and p < g and g - p <= 4 and not denied and not self._by_thing(tags, p):
                     worst = max(worst, 1.2 * read[p].quality)
             best = max(best, worst * self._told(read, g))
-        for i, r in enumerate(read):
-            if r.words & {"rape", "raped", "raping", "rapes"} and i + 1 < n and read[i + 1].words & _PEOPLE_OBJECTS and not any(x & (BIT["REPORT"] | BIT["NOT"]) for x in tags):
-                best = max(best, 1.1)
         return best
 
 

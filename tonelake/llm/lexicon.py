@@ -14,7 +14,7 @@ from tonelake.llm.folding import fold_word
 from tonelake.llm.tokens import read_ranks
 
 TAGS = (
-    "YOU YOUR I PERSON THING DET POSS MODAL WISH COPULA NOT VIOLENT ROUGH HARMED WEAPON BODY HOME SUFFER DEATH FOREIGN "
+    "ASSAULT YOU YOUR I PERSON THING DET POSS MODAL WISH COPULA NOT VIOLENT ROUGH HARMED WEAPON BODY HOME SUFFER DEATH FOREIGN "
     "INSULT WEAK SCORN SLUR GROUP MIXED KIND FOLK VILE DEGRADE EXCLUDE RUIN EXPLICIT INTIMATE SEXVERB TOUCH GARMENT EROTIC THEM REPORT NAMING"
 ).split()
 BIT = {t: 1 << i for i, t in enumerate(TAGS)}
@@ -36,6 +36,7 @@ LEXICON = {
     "VIOLENT": "kill+s+ing murder+s+ing stab+s shoot+s slit strangle+s choke+s torture+s slaughter+s behead+s lynch burn+s smash+es+ing drown+s skin maim cripple shove+s gas exterminate execute gut",
     "ROUGH": "beat+s hit+s cut+s kick+s hurt+s punch+es slap+s break+s breaking whip+s hang+s crush+es rip+s bash throw+s push+es run+s knock+s bury destroy+s end",
     "FOREIGN": "umbringen umbring toten tote abstechen schlag schlage schlagen hau haue verprugeln erschiessen tuer frapper crever casser cogner egorger matar golpear apunalar partir romper reventar ammazzo ammazzare uccido uccidere spacco spaccare picchio bater arrebentar quebrar espancar esfaquear σκοτωσω σκοτωνω δειρω",
+    "ASSAULT": "rape rapes raped raping",
     "HARMED": "beaten shot hanged killed raped stabbed burned burnt punished hurt whipped lynched murdered suffer die punched executed gassed",
     "WEAPON": "hammer axe knife gun bat rifle machete blade bomb bullet rope messer waffe couteau cuchillo pistola coltello faca μαχαιρι",
     "BODY": "face+s finger+s throat+s teeth skull neck head leg+s bone+s eye+s hand+s arm+s knee+s jaw nose rib+s guts spine fresse fratze zahne nase kopf gesicht figure gueule tete gorge cara cabeza cuello garganta faccia testa gola cabeca pescoco μουτρα κεφαλι chest",
