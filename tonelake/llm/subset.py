@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,21 +107,25 @@ def kinds(pool: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
             best[closer], least[closer] = k, d[closer]
         return best
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member", kind="stable").reset_index(drop=True)
-        v = _vectors(pdf)
+    def arranged(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        t = t.sort_by("member").combine_chunks()
+        flat = t.column("vec").combine_chunks()
+        return t, flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def within(t: pa.Table) -> pa.Table:
+        t, v = arranged(t)
         near = nearest(v, farthest_first(v, None, radius))
-        own = near == np.arange(len(v))
-        return pd.DataFrame({"grp": pdf["grp"], "member": pdf["member"], "rep": pdf["member"].to_numpy()[near], "vec": [list(map(float, x)) if o else None for x, o in zip(v, own)]})
+        own = pa.array(near == np.arange(len(v)))
+        rep = t.column("member").take(pa.array(near))
+        return pa.table({"grp": t.column("grp"), "member": t.column("member"), "rep": rep, "vec": pc.if_else(own, t.column("vec"), None)})
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member", kind="stable").reset_index(drop=True)
-        v = _vectors(pdf)
+    def across(t: pa.Table) -> pa.Table:
+        t, v = arranged(t)
         near = nearest(v, farthest_first(v, None, radius))
-        return pd.DataFrame({"grp": pdf["grp"], "rep": pdf["member"], "kind": pdf["member"].to_numpy()[near], "pool_kinds": len(set(near))})
+        return pa.table({"grp": t.column("grp"), "rep": t.column("member"), "kind": t.column("member").take(pa.array(near)), "pool_kinds": pa.array(np.full(len(v), len(set(near.tolist())), dtype=np.int64))})
 
-    local = _blocks(pool, block).groupBy("grp", "salt").applyInPandas(within, "grp string, member string, rep string, vec array<double>").persist(StorageLevel.MEMORY_AND_DISK)
-    reps = local.where("vec is not null").select("grp", "member", "vec").groupBy("grp").applyInPandas(across, "grp string, rep string, kind string, pool_kinds bigint")
+    local = _blocks(pool, block).groupBy("grp", "salt").applyInArrow(within, "grp string, member string, rep string, vec array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    reps = local.where("vec is not null").select("grp", "member", "vec").groupBy("grp").applyInArrow(across, "grp string, rep string, kind string, pool_kinds bigint")
     return join_small(local.select("grp", "member", "rep"), reps, ["grp", "rep"], "member").select("grp", "member", "kind", "pool_kinds")
 
 
