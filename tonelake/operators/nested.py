@@ -57,6 +57,8 @@ class Ancestor:
 
 
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|"([^"\\\x00-\x1f]*)"|("(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))')
+#: A whole member of a map with a plain key and a scalar value, and what follows it: read at one stroke.
+_MEMBER = re.compile(r'[ \t\r\n]*"([^"\\\x00-\x1f]*)"[ \t\r\n]*:[ \t\r\n]*(?:"([^"\\\x00-\x1f]*)"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))[ \t\r\n]*([,}])')
 _BLANK = re.compile(r"[ \t\r\n]*")
 # what may come next
 _VALUE, _VALUE_OR_END, _KEY_OR_END, _KEY, _COLON, _MORE = range(6)
@@ -94,7 +96,7 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
     key: str | None = None
     start = [(i, 0, ()) for i in range(len(ancestors))]
 
-    def child_states(parent: _Open | None) -> list:
+    def child_states(parent: _Open | None, key: str | None) -> list:
         if parent is None:
             return start
         out = []
@@ -118,6 +120,21 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                 rows[r] = None
         parent.spans[k] = (begin, len(rows))
 
+    def scalar(parent: _Open | None, key: str | None, kind: int, value: str | None) -> None:
+        begin = len(rows)
+        if parent is None or parent.below:
+            for i, depth, path in child_states(parent, key):
+                a = ancestors[i]
+                if depth == len(a.steps) and a.scalar and (kind in (2, 3) or value is None):
+                    rows.append((i, path, {a.scalar: value if value is None else _utf8(value)}))
+                elif depth == len(a.steps) and a.foreign:
+                    rows.append((i, path, {"foreign": "null" if value is None else _KINDS[kind]}))
+        if parent is not None:
+            if parent.held is not None:
+                parent.held[key] = ("null" if value is None else _KINDS[kind], value if value is None else _utf8(value))
+            if parent.spans is not None:
+                settle(parent, key, begin)
+
     def close(o: _Open) -> None:
         if o.spans:  # of alternative names the first present one is followed
             for i, depth, _ in o.below:
@@ -142,7 +159,20 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                 if k in a.leaves or (a.branches is not None and k not in told):
                     row[k if k in a.leaves else k.encode("utf-8", "backslashreplace").decode("utf-8")] = v
 
+    member = _MEMBER.match
     while True:
+        if expect in (_KEY_OR_END, _KEY) and (m := member(text, at)) is not None:
+            parent = stack[-1]
+            key, kind = m[1], 2 if m[2] is not None else 4 if m[3] is not None else 5
+            if parent.held is not None or parent.below:
+                value = m[2] if kind == 2 else m[3] if kind == 4 else None if m[4] == "null" else m[4]
+                scalar(parent, key, kind, value)
+            parent.size += 1
+            if m[5] == ",":
+                at, expect = m.end(), _KEY
+            else:  # the end of the map is read as such
+                at, expect = m.end() - 1, _MORE
+            continue
         m = match(text, at)
         if m is None:
             return None
@@ -154,7 +184,7 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
             if ch in "{[":
                 if expect > _VALUE_OR_END:
                     return None
-                states = child_states(parent)
+                states = child_states(parent, key) if parent is None or parent.below else ()
                 is_map = ch == "{"
                 below, instances, row_at = [], [], len(rows)
                 for i, depth, path in states:
@@ -208,19 +238,7 @@ def scan(text: str | None, ancestors: list[Ancestor]) -> list[tuple[int, tuple[s
                 continue
             if expect > _VALUE_OR_END:
                 return None
-            begin = len(rows)
-            if parent is None or parent.below:
-                for i, depth, path in child_states(parent):
-                    a = ancestors[i]
-                    if depth == len(a.steps) and a.scalar and (kind in (2, 3) or value is None):
-                        rows.append((i, path, {a.scalar: value if value is None else _utf8(value)}))
-                    elif depth == len(a.steps) and a.foreign:
-                        rows.append((i, path, {"foreign": "null" if value is None else _KINDS[kind]}))
-            if parent is not None:
-                if parent.held is not None:
-                    parent.held[key] = ("null" if value is None else _KINDS[kind], value if value is None else _utf8(value))
-                if parent.spans is not None:
-                    settle(parent, key, begin)
+            scalar(parent, key, kind, value)
         # a value has ended
         if parent is None:
             return [r for r in rows if r is not None] if _BLANK.match(text, at).end() == end else None
