@@ -89,26 +89,18 @@ def _targets(ranked: DataFrame, ps: list[float], *columns) -> DataFrame:
     return ranked.select("*", at).where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("n"))).select(*columns, "p", (F.col("rank") - F.col("below")).alias("rest"))
 
 
-def _joined(rows: DataFrame, small: DataFrame, on: list[str], held: list[DataFrame]) -> DataFrame:
-    """Null-safe equi-join with a side that usually is small; `small` has the columns of `on` with a leading underscore."""
-    side, _ = bounded(small)
-    held.append(side)
-    return rows.join(side, _same(rows, side, on))
-
-
 def percentiles(df: DataFrame, by: list[str], measures: list[str], ps: list[float], low: float | None = None, high: float | None = None) -> DataFrame:
     """(*by, measure, p, n, value): the exact percentiles `ps` of each group."""
     rows = ordered_values(df, by, measures, low, high)
     groups = [*by, "measure"]
     targets = _targets(_with_ranks(digit_counts(rows, groups), groups), ps, *groups, F.col("total").alias("of"), F.col("digit").alias("prefix"))
-    held: list[DataFrame] = []
     for above, shift in zip(SHIFTS, SHIFTS[1:]):
         followed, _ = bounded(targets)
-        held.append(followed)
         prefixes = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix"))).distinct()
+        prefixes = F.broadcast(prefixes) if followed._small else prefixes
         prefixed = rows.withColumn("prefix", F.shiftright("key", above))
         # only rows in followed cells go on to the next digit
-        rows = _joined(prefixed, prefixes, [*groups, "prefix"], held).select(*groups, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        rows = prefixed.join(prefixes, _same(prefixed, prefixes, [*groups, "prefix"])).select(*groups, "key").persist(StorageLevel.MEMORY_AND_DISK)
         cells = rows.groupBy(*groups, F.shiftright("key", above).alias("prefix"), F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         counted = _with_ranks(cells, [*groups, "prefix"])
         goal = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix")), "p", "of", "rest")
