@@ -86,7 +86,7 @@ def test_medoid_triples_and_pools(spark):
 
 def test_degenerate_triples(spark):
     e = spark.createDataFrame([("s", 1, 2, 1.0), ("s", 1, 3, 3.0), ("s", 1, 4, 4.0), ("s", 2, 3, 2.5), ("s", 2, 4, 3.5), ("s", 3, 4, 1.0)], "grp string, i int, j int, d double")
-    scores = spark.createDataFrame([("s", i + 1, v, t, False) for i, (v, t) in enumerate([(0.1, 0), (0.2, 0), (0.8, 2), (0.9, 2)])], "grp string, idx int, score double, third int, flagged boolean")
+    scores = spark.createDataFrame([("s", i + 1, f"m{i}", v, t, "clear") for i, (v, t) in enumerate([(0.1, 0), (0.2, 0), (0.8, 2), (0.9, 2)])], "grp string, idx int, name string, score double, third int, status string")
     t = combos.triple_objective(combos.triples(e), scores)
     assert t.count() == 8 and all(r.min_d == 1 for r in t.collect())
     r = combos.ranked(t)

@@ -1,7 +1,7 @@
-"""Every query over the smallest tables: against its SQL counterpart where there is one, else it must run with its stated columns."""
+"""Every query over the smallest tables: against its SQL counterpart where there is one, else it must give rows, and the same ones again."""
 
 import pytest
-from compare import DATA, connection, have_data, same_rows
+from compare import DATA, connection, have_data, rows_of, same_rows
 
 from tonelake.plans import excerpts, problems, ratings, relations, study, submissions, summaries, vectors
 
@@ -9,6 +9,9 @@ MODULES = [problems, ratings, vectors, study, relations, submissions, excerpts,
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 
+#: the smallest tables hold no devices
+NO_ROWS = {"p4_devices", "p4_device_levels"}
+
 pytestmark = pytest.mark.skipif(not have_data(), reason="no test tables here")
 
 
@@ -24,8 +27,8 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    rows = rows_of(QUERIES[name](spark, DATA))[1]
+    assert (rows or name in NO_ROWS) and rows == rows_of(QUERIES[name](spark, DATA))[1]  # some rows, and the same ones again
 
 
 def test_every_sql_has_a_query():

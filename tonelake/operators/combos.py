@@ -24,18 +24,24 @@ def best_triples(t: DataFrame, must_hold: DataFrame | None = None, digits: int =
     """Per group the triple with the greatest least distance, then mean distance (both to `digits`), then the first in order. `must_hold` (grp, medoid) names a required member."""
     if must_hold is not None:
         t = t.join(must_hold.select("grp", "medoid"), "grp").where("medoid in (a, b, c)")
-    order = [F.desc(F.round("min_d", digits)), F.desc(F.round("mean_d", digits)), "a", "b", "c"]
-    return t.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("_r = 1").drop("_r")
+    # one aggregate: the first triple of the order is the least of these structs
+    first = F.min(F.struct((-F.round("min_d", digits)).alias("x"), (-F.round("mean_d", digits)).alias("y"), "a", "b", "c", *(c for c in t.columns if c not in ("grp", "a", "b", "c")))).alias("_b")
+    return t.groupBy("grp").agg(first).select("grp", "_b.*").drop("x", "y")
 
 
 def medoid_triples(t: DataFrame, all_edges: DataFrame, digits: int = 9) -> DataFrame:
-    """Exact 3-medoids: per group the triple with the least sum of distances to the nearest of the three, then the greater mean distance, then the first in order."""
+    """Exact 3-medoids: per group the triple with the least sum of distances to the nearest of the three, then the greater mean distance, then the first in order.
+
+    Each member holds its distances to all members of its group as an array, so a triple costs one row.
+    """
+    rows = all_edges.groupBy("grp", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "d"))), lambda x: x["d"]).alias("_d"))
     own = t.select("grp", "a", "b", "c", "mean_d")
-    to = lambda m, name: all_edges.select("grp", F.col("i").alias(m), F.col("j").alias("p"), F.col("d").alias(name))
-    costs = own.join(to("a", "da"), ["grp", "a"]).join(to("b", "db"), ["grp", "b", "p"]).join(to("c", "dc"), ["grp", "c", "p"])
-    inertia = costs.groupBy("grp", "a", "b", "c", "mean_d").agg(F.round(F.sum(F.least("da", "db", "dc")), digits).alias("inertia"))
-    order = ["inertia", F.desc(F.round("mean_d", digits)), "a", "b", "c"]
-    return inertia.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("_r = 1").drop("_r")
+    for m in "abc":
+        own = own.join(rows.select("grp", F.col("i").alias(m), F.col("_d").alias(f"_{m}")), ["grp", m])
+    least = F.zip_with(F.zip_with("_a", "_b", lambda x, y: F.least(x, y)), "_c", lambda x, y: F.least(x, y))
+    inertia = own.select("grp", "a", "b", "c", "mean_d", F.round(F.aggregate(least, F.lit(0.0), lambda s, v: s + v), digits).alias("inertia"))
+    first = F.min(F.struct("inertia", (-F.round("mean_d", digits)).alias("m"), "a", "b", "c")).alias("b")
+    return inertia.groupBy("grp").agg(first).select("grp", "b.a", "b.b", "b.c", "b.inertia")
 
 
 def min_max(c: str, group: list[str], flat: float = 0.0) -> Column:
@@ -86,8 +92,8 @@ def ranked(t: DataFrame, digits: int = 9) -> DataFrame:
 
 def least_overlap(r: DataFrame, digits: int = 9) -> DataFrame:
     """Per group the wide triple that shares fewest members with the best similar one, then by objective and least distance."""
-    best = r.where("condition = 'similar' and rank = 1").select("grp", F.array("a", "b", "c").alias("other"))
-    wide = r.where("condition = 'wide'").join(best, "grp").withColumn("overlap", F.size(F.array_intersect(F.array("a", "b", "c"), "other")))
+    best = r.where("condition = 'similar' and rank = 1").select("grp", F.split("names", r"\|").alias("other"))
+    wide = r.where("condition = 'wide'").join(best, "grp").withColumn("overlap", F.size(F.array_intersect(F.split("names", r"\|"), "other")))
     order = ["overlap", F.desc(F.round("objective", digits)), F.desc(F.round("min_d", digits)), "names"]
     return wide.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy(*order))).where("_r = 1").drop("_r", "other")
 

@@ -126,7 +126,7 @@ def encode_wav(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
         w.setnchannels(x.shape[1])
         w.setsampwidth(bits // 8)
         w.setframerate(rate)
-        whole = np.round(x * ((1 << (bits - 1)) - 1)).astype("<i4")
+        whole = np.ascontiguousarray(np.round(x * ((1 << (bits - 1)) - 1)).astype("<i4"))
         w.writeframes(whole.astype("<i2").tobytes() if bits == 16 else whole.view(np.uint8).reshape(*whole.shape, 4)[:, :, :3].tobytes())
     return out.getvalue()
 
