@@ -132,6 +132,15 @@ a AS (SELECT 'responses_raw' AS source_table, line_id AS row_id, label, rating F
 SELECT 'responses_raw' AS source_table, line_id AS row_id, CASE WHEN well THEN 'column_count' ELSE 'quoting' END AS reason FROM counted WHERE NOT well OR n <> 14
 UNION ALL SELECT source_table, row_id, 'rating' FROM a WHERE NOT {_RATING.format('rating')}
 UNION ALL SELECT source_table, row_id, 'display_label' FROM a WHERE NOT {_LABEL.format('label')}""",
+    "p6_loaded": f"""
+WITH good AS (SELECT line_id, line, {_WELL_QUOTED} AS well FROM (SELECT line_id, coalesce(line, '') AS line FROM responses_raw)),
+counted AS (SELECT *, 1 + length(regexp_replace(line, '"[^"]*"', '', 'g')) - length(replace(regexp_replace(line, '"[^"]*"', '', 'g'), ',', '')) AS n FROM good),
+cut AS (SELECT line_id, {', '.join(f"regexp_extract(line, '^(?:{_FIELD},){{{k}}}({_FIELD})(?:,|$)', 1, 's') AS r{k}" for k in range(14))} FROM counted WHERE well AND n = 14),
+plain AS (SELECT line_id, {', '.join(f"CASE WHEN r{k} LIKE '{chr(34)}%' THEN replace(r{k}[2:-2], '{chr(34) * 2}', '{chr(34)}') ELSE r{k} END AS f{k}" for k in range(14))} FROM cut),
+trimmed AS (SELECT *, {', '.join(f"trim(f{k}, ' ' || chr(9)) AS t{k}" for k in range(14))} FROM plain WHERE {_RATING.format('f8')} AND {_LABEL.format('f4')})
+SELECT line_id, f0 AS study_id, TRY_CAST(t1 AS INTEGER) AS trial_index, f2 AS episode_id, f3 AS song_id, regexp_replace(t4, '^(?i:version)[ \t]+', '') AS display_label, TRY_CAST(t5 AS INTEGER) AS display_position, f6 AS actual_mix_id, f7 AS stimulus_id,
+  TRY_CAST(t8 AS INTEGER) AS rating, CASE lower(t9) WHEN 'true' THEN true WHEN '1' THEN true WHEN 'false' THEN false WHEN '0' THEN false END AS rating_set, CASE lower(t10) WHEN 'true' THEN true WHEN '1' THEN true WHEN 'false' THEN false WHEN '0' THEN false END AS audio_played,
+  TRY_CAST(t11 AS BIGINT) AS response_time_ms, TRY_CAST(t12 AS TIMESTAMP) AS completed_at, f13 AS comparative_comment FROM trimmed""",
     # DuckDB's own parser also takes trailing commas and NaN; such cells are told by what stands outside strings
     "p4_found": r"""
 WITH cells AS (

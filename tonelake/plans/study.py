@@ -323,6 +323,18 @@ _CHECKS = [(f"finite_{c}", "error", f"NOT coalesce(isfinite({c}), false)") for c
     ("known_institution", "warning", "coalesce(trim(institution_code, ' '), '') = ''"), ("band_count", "error", "len(bark) <> 48"), ("mean_of_channels", "warning", "abs(rms_mean - (rms_left + rms_right) / 2) > 10"),
 ]
 
+#: the objects of the responses in strict cells; DuckDB's own parser is laxer, so such cells are told by what stands outside strings
+_RESPONSE_CELLS = r"""cells AS (SELECT submission_row_id, CASE WHEN json_valid(responses_json) AND NOT regexp_matches(regexp_replace(responses_json, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]|(?i:nan|inf)|/') THEN responses_json::JSON END AS r FROM submissions),
+ar AS (SELECT submission_row_id, r, unnest(range(json_array_length(r)::BIGINT)) AS i FROM cells WHERE json_type(r) = 'ARRAY'),
+ob AS (SELECT * FROM (SELECT submission_row_id, i, json_extract(r, '$[' || i || ']') AS o FROM ar) WHERE json_type(o) = 'OBJECT')"""
+_ISSUE_LOG = """f AS (SELECT submission_row_id, i::VARCHAR AS path, json_extract_string(o, '$.trial_index') AS trial, json_extract_string(o, '$.episode_id') AS episode, json_extract_string(o, '$.display_label') AS label, json_extract_string(o, '$.stimulus_id') AS stimulus, json_extract_string(o, '$.rating') AS rating FROM ob),
+g AS (SELECT *, count(*) OVER (PARTITION BY submission_row_id, trial, label) AS same FROM f),
+log AS (SELECT submission_row_id, path, 'missing_stimulus_id' AS code, 'stimulus_id' AS field FROM g WHERE coalesce(trim(stimulus), '') = ''
+UNION ALL SELECT submission_row_id, path, 'missing_response_field', 'episode_id' FROM g WHERE coalesce(trim(episode), '') = ''
+UNION ALL SELECT submission_row_id, path, 'rating_not_integer_0_100', 'rating' FROM g WHERE NOT coalesce(regexp_full_match(trim(rating, ' ' || chr(9)), '[0-9]{1,3}') AND try_cast(trim(rating, ' ' || chr(9)) AS INTEGER) <= 100, false)
+UNION ALL SELECT submission_row_id, path, 'invalid_label', 'display_label' FROM g WHERE NOT coalesce(regexp_full_match(regexp_replace(trim(label, ' ' || chr(9)), '^(?i:version)[ \\t]+', ''), '[A-F]'), false)
+UNION ALL SELECT submission_row_id, path, 'duplicate_response_within_trial', 'display_label' FROM g WHERE same > 1)"""
+
 SQL = {
     "winner_with_ties": f"WITH {_TRIALS} SELECT * FROM w",
     "joint_winners": f"WITH {_TRIALS} SELECT study_id, trial_index, unnest(string_split(winners, '|')) AS winner FROM w WHERE tie",
@@ -356,6 +368,9 @@ SQL = {
       SELECT w.event_type, a AS start, a + 24 AS "end", count(c.hour) AS samples, {_r('coalesce(avg(c.events), 0)', 'coverage')} FROM w LEFT JOIN c ON c.event_type = w.event_type AND c.hour >= a AND c.hour < a + 24 GROUP BY 1, 2, 3""",
     "common_overlap": f"""WITH u AS (SELECT event_type, user_id, min(epoch_us(ts)) / 1e6 AS a, max(epoch_us(ts)) / 1e6 AS b FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
       SELECT event_type, {_r('max(a)', 'start')}, {_r('min(b)', '"end"')}, {_r('greatest(0, min(b) - max(a))', 'length')} FROM u GROUP BY 1""",
+    "json_issue_log": f"WITH {_RESPONSE_CELLS}, {_ISSUE_LOG} SELECT submission_row_id, path, code, field FROM log",
+    "issue_counts": f"WITH {_RESPONSE_CELLS}, {_ISSUE_LOG} SELECT code, count(*) AS issues, count(DISTINCT submission_row_id) AS submissions FROM log GROUP BY 1",
+    "signal_fingerprints": "WITH b AS (SELECT feature_row_id, bark FROM features WHERE len(bark) = 48) SELECT feature_row_id, sha1(array_to_string(list_transform(range(0, 8), lambda k: printf('%.5f', sqrt(list_sum(list_transform(bark[k * 6 + 1 : k * 6 + 6], lambda v: v * v)) / 6))), ',')) AS fingerprint FROM b",
     "lag_correlation": f"WITH {_LAGS} SELECT lag, n, {_r('r', 'r')} FROM lags",
     "lag_estimate": f"""WITH {_LAGS}, b AS (SELECT lag AS best_lag, r AS best_r FROM lags ORDER BY r DESC, lag LIMIT 1), s AS (SELECT max(r) AS second_r FROM lags, b WHERE abs(lag - best_lag) > 1)
       SELECT best_lag, {_r('best_r', 'best_r')}, {_r('second_r', 'second_r')}, {_r('best_r - second_r', 'margin')}, second_r > 0.92 * best_r AS multimodal, {_r('least(1, greatest(0, 0.75 * best_r + 0.25 * least(1, greatest(0, (best_r - second_r) / 0.15))))', 'confidence')} FROM b, s""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.operators import responses
+from tonelake.plans.study import _RESPONSE_CELLS
 from tonelake.sources.tables import table
 
 
@@ -53,6 +54,7 @@ _REQUIRED = ("song_id", "display_label", "stimulus_id", "rating", "comparative_c
 _MISSING = "\n".join(f"UNION ALL SELECT response_row_id, '{c}', '{'missing_stimulus_id' if c == 'stimulus_id' else 'missing_response_field'}' FROM r WHERE coalesce({c}, '') = ''" for c in _REQUIRED)
 
 SQL = {
+    "numeric_rating_issues": f"WITH {_RESPONSE_CELLS} SELECT submission_row_id, (i + 1)::VARCHAR AS place, 'rating' AS field, 'rating_not_numeric' AS code FROM ob WHERE coalesce(json_type(json_extract(o, '$.rating')), '') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT')",
     "completed_submissions": f"""SELECT submission_row_id, coalesce(lower(trim(submission_status)) IN ('completed', 'local_only_completed'), false) OR (completed_at IS NOT NULL AND NOT {_BLANK.format(c='responses_json')}) AS completed FROM submissions""",
     "long_format_issues": f"""WITH r AS (SELECT *, CASE WHEN {_BLANK.format(c='episode_id')} THEN CASE WHEN {_BLANK.format(c='scenario_id')} THEN '' ELSE scenario_id END ELSE episode_id END AS ep FROM responses_long),
 k AS (SELECT response_row_id, row_number() OVER (PARTITION BY coalesce(study_id, ''), coalesce(trial_index::VARCHAR, ''), ep, coalesce(song_id, ''), coalesce(display_label, '') ORDER BY response_row_id) AS n FROM r)
