@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.sources.tables import bounded, cut, join_small, release
+from tonelake.sources.tables import BROADCAST_BYTES, bounded, cut, join_known, join_small, release
 
 CLASSES = ("low", "middle", "high")
 #: Distance from the annotator's mean, in own standard deviations, from which a label is high or low (thirds of a normal distribution).
@@ -72,41 +72,53 @@ def pass_messages(edges: DataFrame, most_iterations: int = 200, tolerance: float
     # centred labels: a class held by a third of all labels weighs 2/3 where given, -1/3 where not
     a = [F.col(f"c{k}") - n * F.lit(p[k]) for k in _K]
     aa = [F.col(f"c{k}") * F.lit((1 - p[k]) ** 2) + (n - F.col(f"c{k}")) * F.lit(p[k] ** 2) for k in _K]
-    state = cut(edges.select("annotator", "item", *classes, *(F.lit(1.0).cast("float").alias(f"y{k}") for k in _K), F.lit(1.0).alias("moved")))
-    held: list[DataFrame] = [state]
-    pace, before, items, annotators = 1.0, None, None, None
-    for step in range(most_iterations + 1):
-        items, _ = bounded(state.groupBy("item").agg(F.sum(n).alias("tn"), *(F.sum(a[k] * F.col(f"y{k}")).alias(f"x{k}") for k in _K), *(F.sum(n * F.abs(f"y{k}")).alias(f"v{k}") for k in _K), *(F.sum(c).alias(f"t{c}") for c in classes)))
+    # the numbers of items and annotators do not change, so whether they may be broadcast is asked once
+    fits = {}
+    for node in ("item", "annotator"):
+        side, fits[node] = bounded(edges.select(node).distinct(), size=BROADCAST_BYTES // 8)
+        release(side)
+
+    def half_step(state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Items' sums, what each edge hears from its item, and annotators' sums, with what an edge adds to them."""
+        items = state.groupBy("item").agg(F.sum(n).alias("tn"), *(F.sum(a[k] * F.col(f"y{k}")).alias(f"x{k}") for k in _K), *(F.sum(n * F.abs(f"y{k}")).alias(f"v{k}") for k in _K), *(F.sum(c).alias(f"t{c}") for c in classes))
         rest = [F.col(f"v{k}") - n * F.abs(f"y{k}") for k in _K]
         x = [F.when(rest[k] > 1e-9, (F.col(f"x{k}") - a[k] * F.col(f"y{k}")) / rest[k]).otherwise(F.lit(0.0)) for k in _K]
         shared = (F.col("tn") > n).cast("double")
-        heard = join_small(state, items, ["item"], "annotator").select("annotator", "item", *classes, *(f"y{k}" for k in _K), "moved", shared.alias("shared"), *(x[k].alias(f"h{k}") for k in _K))
+        heard = join_known(state, items, ["item"], "annotator", fits["item"]).select("annotator", "item", *classes, *(f"y{k}" for k in _K), "moved", shared.alias("shared"), *(x[k].alias(f"h{k}") for k in _K))
         h = [F.col(f"h{k}") for k in _K]
         m = n * F.col("shared")
-        # what an edge adds to its annotator's sums
         parts = {"m": m} | {f"{name}{k}": c for k in _K for name, c in (("a", a[k] * F.col("shared")), ("aa", aa[k] * F.col("shared")), ("b", m * h[k]), ("bb", m * h[k] * h[k]), ("ab", a[k] * h[k] * F.col("shared")))}
-        sums = heard.groupBy("annotator").agg(F.sum(n).alias("labels"), F.max("moved").alias("last"), *(F.sum(c).alias(f"s_{name}") for name, c in parts.items()))
-        s = lambda name: F.col(f"s_{name}")
-        spread = [F.when(s("m") > 0, s(f"aa{k}") / s("m") - F.pow(s(f"a{k}") / s("m"), 2)).otherwise(0.0) for k in _K]
-        whole = [_correlation(s("m"), *(s(f"{q}{k}") for q in ("a", "aa", "b", "bb", "ab"))) for k in _K]
-        mean = sum((spread[k] * whole[k] for k in _K), F.lit(0.0)) / F.greatest(sum(spread, F.lit(0.0)), F.lit(1e-12))
-        annotators = sums.select("*", F.when(s("m") > 0, mean).alias("reliability"), (F.col("last") < tolerance).alias("converged"))
-        if step and (moved is None or moved < tolerance) or step == most_iterations:
-            break
-        answered = join_small(heard, annotators.select("annotator", *(f"s_{name}" for name in parts)), ["annotator"], "item", held=held)
-        left = lambda name: s(name) - parts[name]
+        # kept as columns: they are summed, and taken off the sums again
+        heard = heard.select("annotator", "item", *classes, *(f"y{k}" for k in _K), "moved", n.alias("n"), *(c.alias(f"p_{name}") for name, c in parts.items()))
+        sums = heard.groupBy("annotator").agg(F.sum("n").alias("labels"), F.max("moved").alias("last"), *(F.sum(f"p_{name}").alias(f"s_{name}") for name in parts))
+        return items, heard, sums
+
+    s = lambda name: F.col(f"s_{name}")
+    left = lambda name: s(name) - F.col(f"p_{name}")
+    state = cut(edges.select("annotator", "item", *classes, *(F.lit(1.0).cast("float").alias(f"y{k}") for k in _K), F.lit(1.0).alias("moved")))
+    pace, before = 1.0, None
+    for _ in range(most_iterations):
+        _, heard, sums = half_step(state)
         y = [_correlation(left("m"), *(left(f"{q}{k}") for q in ("a", "aa", "b", "bb", "ab"))) for k in _K]
+        answered = join_known(heard, sums.drop("labels", "last"), ["annotator"], "item", fits["annotator"])
         now = cut(answered.select(
             "annotator", "item", *classes, *((F.col(f"y{k}") + F.lit(pace) * (y[k] - F.col(f"y{k}"))).cast("float").alias(f"y{k}") for k in _K),
             F.greatest(*(F.abs(y[k] - F.col(f"y{k}")) for k in _K)).alias("moved"),
         ))
-        release(items, *held)
-        state, held = now, [now]
+        release(state)
+        state = now
         moved = state.agg(F.max("moved")).first()[0]
+        if moved is None or moved < tolerance:
+            break
         # half steps unless the largest move at least halves: messages of annotators with few labels would else swing for ever
-        pace = 1.0 if moved is None or before is None or moved <= before / 2 else 0.5
+        pace = 1.0 if before is None or moved <= before / 2 else 0.5
         before = moved
-    return items.select("item", F.col("tn").cast("bigint").alias("labels"), *(f"x{k}" for k in _K), *(F.col(f"tc{k}").alias(f"c{k}") for k in _K)), annotators.select("annotator", F.col("labels").cast("bigint").alias("labels"), "reliability", "converged")
+    items, _, sums = half_step(state)
+    spread = [F.when(s("m") > 0, s(f"aa{k}") / s("m") - F.pow(s(f"a{k}") / s("m"), 2)).otherwise(0.0) for k in _K]
+    whole = [_correlation(s("m"), *(s(f"{q}{k}") for q in ("a", "aa", "b", "bb", "ab"))) for k in _K]
+    mean = sum((spread[k] * whole[k] for k in _K), F.lit(0.0)) / F.greatest(sum(spread, F.lit(0.0)), F.lit(1e-12))
+    annotators = sums.select("annotator", F.col("labels").cast("bigint").alias("labels"), F.when(s("m") > 0, mean).alias("reliability"), (F.col("last") < tolerance).alias("converged"))
+    return items.select("item", F.col("tn").cast("bigint").alias("labels"), *(f"x{k}" for k in _K), *(F.col(f"tc{k}").alias(f"c{k}") for k in _K)), annotators
 
 
 def consensus(items: DataFrame) -> DataFrame:
