@@ -80,10 +80,15 @@ def join_small(large: DataFrame, small: DataFrame, on: list[str], spread_by: str
         side, fits = bounded(small, rows)
         if held is not None:
             held.append(side)
+    return join_known(large, side, on, spread_by, fits, how, salts)
+
+
+def join_known(large: DataFrame, small: DataFrame, on: list[str], spread_by: str, fits: bool, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """`join_small` where it is known already whether the small side may be broadcast; nothing is run or persisted."""
     if fits:
-        return large.join(side, on, how)
+        return large.join(F.broadcast(small), on, how)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
