@@ -3,9 +3,9 @@
 import pytest
 from compare import DATA, connection, have_data, rows_of, same_rows
 
-from tonelake.plans import excerpts, problems, ratings, relations, study, submissions, summaries, vectors
+from tonelake.plans import excerpts, problems, ratings, relations, sessions, study, submissions, summaries, vectors
 
-MODULES = [problems, ratings, vectors, study, relations, submissions, excerpts, summaries]
+MODULES = [problems, ratings, vectors, study, relations, submissions, excerpts, summaries, sessions]
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 

@@ -57,3 +57,22 @@ def simulated_ratings(spark: SparkSession, participants: int, items: DataFrame,
     expected = F.col(effect) + offset
     drawn = expected + noise * normal(F.col("participant"), F.col(item), seed=seed + 7)
     return rows.select("participant", item, expected.alias("expected"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), drawn)), 1).alias("rating"))
+
+
+def group_split(participants: int, odd_first: bool = True) -> tuple[int, int]:
+    """Sizes of two groups; the first gets the odd participant, or it is dropped from both counts."""
+    return (-(-participants // 2), participants // 2) if odd_first else (participants // 2, participants // 2)
+
+
+def full_design(spark: SparkSession, participants: int, stimuli: DataFrame, group: str, song: str, item: str, episodes: list[str], seed: int = 0) -> DataFrame:
+    """(participant, group, song, episode, item, position): every participant rates all items of its group's songs in every episode, items shuffled per trial.
+
+    Participants are spread over the groups in turn. The stimuli are joined by their group, so a participant meets its own only.
+    """
+    groups = stimuli.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_g", F.row_number().over(W.orderBy(group)) - 1)  # the few groups of a study
+    size = groups.agg(F.count(F.lit(1)).alias("_k"))
+    people = spark.range(1, participants + 1).withColumnRenamed("id", "participant").join(F.broadcast(size)).withColumn("_g", F.pmod(F.col("participant") - 1, F.col("_k")).cast("int"))
+    mine = people.join(F.broadcast(groups), "_g").select("participant", group)
+    rows = mine.join(stimuli.select(group, song, item).distinct(), group).select("*", F.explode(F.array(*(F.lit(e) for e in episodes))).alias("episode"))
+    order = W.partitionBy("participant", song, "episode").orderBy(uniform(F.col("participant"), F.col(song), F.col("episode"), F.col(item), seed=seed), item)
+    return rows.select("participant", group, song, "episode", item, F.row_number().over(order).alias("position"))
