@@ -232,3 +232,35 @@ def bark_spectra(df: DataFrame, key: str, left: str, right: str, rate: int, size
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, schema.field(1).type)], schema=schema)
 
     return df.select(F.col(key).cast("string").alias("key"), F.col(left).cast("array<double>"), F.col(right).cast("array<double>")).mapInArrow(run, "key string, bark array<double>")
+
+
+def array_alignment(a: Column, b: Column, most: int) -> Column:
+    """struct(lag, r, second_r, confidence) of two envelopes in a row: the best correlation over lags -most..most of b against a, ties to the lower lag.
+
+    The correlation of fewer than five common samples, or of a flat side, is -1. `second_r` is the best more than one step away from the best lag.
+    """
+    n = F.size(a)
+
+    def parts(lag: Column) -> Column:
+        size = F.greatest(F.lit(0), F.least(n, F.size(b) - lag) - F.greatest(F.lit(0), -lag))
+        return F.struct(F.slice(a, F.greatest(F.lit(0), -lag) + 1, size).alias("x"), F.slice(b, F.greatest(F.lit(0), lag) + 1, size).alias("y"), size.alias("n"))
+
+    def correlation(p: Column) -> Column:
+        def of(m: Column) -> Column:
+            dx, dy = F.transform(p["x"], lambda v: v - m["x"]), F.transform(p["y"], lambda v: v - m["y"])
+            dot = lambda u, v: _sum(F.zip_with(u, v, lambda s, t: s * t), lambda v: v)
+            xx, yy = dot(dx, dx), dot(dy, dy)
+            return F.when((p["n"] <= 4) | (xx <= 1e-12) | (yy <= 1e-12), F.lit(-1.0)).otherwise(dot(dx, dy) / F.sqrt(xx * yy))
+
+        mean = lambda c: _sum(c, lambda v: v) / F.greatest(p["n"], F.lit(1))
+        return bound(F.struct(mean(p["x"]).alias("x"), mean(p["y"]).alias("y")), of)
+
+    found = F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.struct(F.round(bound(parts(lag), correlation), 9).alias("r"), (-lag).alias("m")))
+
+    def best(s: Column) -> Column:
+        top = F.array_max(s)
+        second = F.array_max(F.transform(F.filter(s, lambda x: F.abs(x["m"] - top["m"]) > 1), lambda x: x["r"]))
+        clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+        return F.struct((-top["m"]).alias("lag"), top["r"].alias("r"), second.alias("second_r"), clamp(0.75 * top["r"] + 0.25 * clamp((top["r"] - second) / 0.15)).alias("confidence"))
+
+    return bound(found, best)

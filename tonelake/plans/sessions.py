@@ -77,7 +77,15 @@ def spliced_signals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(got.select("feature_row_id", F.posexplode(F.arrays_zip("s", "m")).alias("pos", "z")).select("feature_row_id", "pos", F.col("z.s").alias("spliced"), F.col("z.m").alias("levelled")))
 
 
-QUERIES = {f.__name__: f for f in (session_checks, order_checks, randomisation_audit, screening_orders, study_design, pair_separation, report_context, spliced_signals)}
+def envelope_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """How the rises of the two channels align, 10 ms a step, graded."""
+    s = _stereo(spark, d)
+    a = signals.array_alignment(F.transform("left", F.abs), F.transform("right", F.abs), 3)
+    got = s.select("feature_row_id", a.alias("a")).select("feature_row_id", "a.*")
+    return rounded(got.withColumn("status", signals.grade(F.col("lag") * 0.01, F.col("r"))))
+
+
+QUERIES = {f.__name__: f for f in (session_checks, order_checks, randomisation_audit, screening_orders, study_design, pair_separation, report_context, spliced_signals, envelope_alignment)}
 
 _r = lambda e, n: f"round({e} + 1e-10, 6) + 0.0 AS {n}"
 _ID = "coalesce(length(trim(study_id)), 0) > 0 AND trial_index IS NOT NULL"
@@ -89,6 +97,12 @@ _GAP = ", ".join(f"{{'g': -round(abs(p.x[{k + 1}] - q.x[{k + 1}]), 9), 'p': {k},
 _MONO = "list_transform(range(1, 25), lambda k: (l[k] + r[k]) / 2)"
 
 SQL = {
+    "envelope_alignment": f"""WITH {_ST}, e AS (SELECT feature_row_id, list_transform(l, lambda v: abs(v)) AS x, list_transform(r, lambda v: abs(v)) AS y FROM ch), g AS (SELECT *, unnest(range(-3, 4))::INTEGER AS lag FROM e),
+      p AS (SELECT feature_row_id, lag, unnest(x[greatest(0, -lag) + 1 : greatest(0, -lag) + 24 - abs(lag)]) AS u, unnest(y[greatest(0, lag) + 1 : greatest(0, lag) + 24 - abs(lag)]) AS v FROM g),
+      c AS (SELECT feature_row_id, lag, round(CASE WHEN count(*) <= 4 OR var_pop(u) * count(*) <= 1e-12 OR var_pop(v) * count(*) <= 1e-12 THEN -1 ELSE corr(u, v) END, 9) AS r FROM p GROUP BY 1, 2),
+      b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY feature_row_id ORDER BY r DESC, lag) = 1), s AS (SELECT c.feature_row_id, max(c.r) AS r2 FROM c JOIN b USING (feature_row_id) WHERE abs(c.lag - b.lag) > 1 GROUP BY 1)
+      SELECT feature_row_id, lag, {_r('r', 'r')}, {_r('r2', 'second_r')}, {_r('greatest(0, least(1, 0.75 * r + 0.25 * greatest(0, least(1, (r - r2) / 0.15))))', 'confidence')},
+        CASE WHEN abs(lag * 0.01) <= 0.010 AND r >= 0.60 THEN 'PASS' WHEN abs(lag * 0.01) <= 0.030 AND r >= 0.35 THEN 'REVIEW' ELSE 'FAIL' END AS status FROM b JOIN s USING (feature_row_id)""",
     "session_checks": f"""WITH t AS (SELECT study_id, trial_index, count(*) AS n, {', '.join(f'bool_and({c}) AS {n}' for n, c in _ROWS.items())}, {', '.join(f'{c} AS {n}' for n, c in _TRIALS.items())} FROM responses_long WHERE {_ID} GROUP BY 1, 2),
       s AS (SELECT study_id, count(*) AS trials, sum(n)::BIGINT AS responses, {', '.join(f'bool_and({n}) AS {n}' for n in _NAMES)}, count(*) = 6 AS trial_count FROM t GROUP BY 1) SELECT *, {' AND '.join([*_NAMES, 'trial_count'])} AS accepted FROM s""",
     "order_checks": f"""WITH t AS (SELECT study_id, trial_index, min(episode_id) AS e, min(song_id) AS s FROM responses_long WHERE {_ID} GROUP BY 1, 2), r AS (SELECT study_id, (lag(e) OVER w IS DISTINCT FROM e OR row_number() OVER w = 1 AND e IS NOT NULL)::INT AS new FROM t WINDOW w AS (PARTITION BY study_id ORDER BY trial_index)),
