@@ -121,6 +121,7 @@ IDIOMS = {
 1.2 | GROUPS __ make/makes me/us sick
 1.2 | GROUPS __ no right/rights/place/business
 1.2 | GROUPS __ not/never be allowed
+1.2 | no GROUPS should/must/may/can be allowed/trusted/let
 1.2 | GROUPS __ not human/people
 1.2 | GROUPS __ dont/doesnt/not deserve/belong
 1.2 | GROUPS __ only good for
@@ -145,7 +146,9 @@ _NEED_PARTICLE = set("kept locked thrown sent kicked shipped keep throw send kic
 _BLAME = set("reason fault blame problem cause because schuld faute culpa".split())
 _PEOPLE_OBJECTS = set("you her him me them dich ihn sie te la le lo ti lei lui".split())
 _OWNERS = set("your ur her his my their dein deine deinen ta tes sa tu tus su sus tuo tua sua".split())
-_KINSHIP = set("their your".split())
+_KINSHIP = set("their your that this these".split())
+_COLLECTIVES = set("kind religion faith race culture".split())
+_BREEDING = set("breed breeds produce produces raise raises".split())
 _FIGURATIVE_AFTER = set("up to at in into loose some slack softly".split())
 #: Sexual verbs that are mostly used otherwise weigh less.
 _MILD = set("kiss taste strip bang screw ride suck touch pull squeeze slid".split())
@@ -164,7 +167,7 @@ _JA_RULES = tuple((re.compile(p), kind, w) for p, kind, w in JAPANESE)
 _ANCHOR = sum(BIT[t] for t in "VIOLENT ROUGH FOREIGN WEAPON SUFFER HARMED ASSAULT INSULT WEAK SCORN SLUR EXPLICIT INTIMATE GARMENT SEXVERB TOUCH".split())
 _SEXUAL = sum(BIT[t] for t in "EXPLICIT INTIMATE GARMENT SEXVERB TOUCH".split())
 _GROUPISH = sum(BIT[t] for t in "GROUP MIXED KIND FOLK".split())
-# marks of readings beside their tags: the word `kind`, and words that begin an idiom, sexual ones apart
+# marks of readings beside their tags: collective nouns, and words that begin an idiom, sexual ones apart
 _KIND_WORD, _BEGINS, _BEGINS_SEXUAL = (1 << (len(BIT) + k) for k in range(3))
 _SUBJECT = BIT["I"] | BIT["YOU"] | BIT["PERSON"]
 
@@ -270,7 +273,7 @@ class Scorer:
         return {w: e for w, e in near.items() if e <= 1 or len(squeeze(w)) >= TWO_EDITS}
 
     def _marks(self, words: frozenset[str]) -> int:
-        out = _KIND_WORD if "kind" in words else 0
+        out = _KIND_WORD if words & _COLLECTIVES else 0
         if any(w in self.starts for w in words):
             out |= _BEGINS
         return out | (_BEGINS_SEXUAL if words & self.sexual_starts else 0)
@@ -620,7 +623,7 @@ class Scorer:
                 out.add(i)
             elif "people" in r.words and after and after.words & {"from"}:
                 out.add(i)
-            elif "kind" in r.words and i and read[i - 1].words & _KINSHIP:
+            elif r.words & _COLLECTIVES and i and read[i - 1].words & _KINSHIP and not (after and after.words & {"of", "in"}):
                 out.add(i)
         return frozenset(out)
 
@@ -634,12 +637,13 @@ class Scorer:
                     continue
                 denied = any(x & BIT["NOT"] for x in tags[max(0, p - 3) : p]) and not (p and any("only" in r.words for r in read[max(0, p - 3) : p]))
                 between = tags[g + 1 : p] if p > g else []
-                said = any(x & BIT["COPULA"] for x in between)
+                said = any(x & BIT["COPULA"] for x in between) or any(read[k].words & _BREEDING for k in range(g + 1, p))
                 if t & BIT["VILE"] and not denied and (said or p < g):
                     worst = max(worst, 1.2 * read[p].quality)
                 if t & BIT["DEGRADE"] and p > g and not denied and (said or (p <= g + 3 and read[p].words & {"breed", "steal", "stink", "stinks"}) or any(read[k].words & {"too", "only", "spread", "carry"} for k in range(g + 1, p))):
                     worst = max(worst, 1.2 * read[p].quality)
-                if t & BIT["EXCLUDE"] and p > g and not denied:
+                # `no one of them should be sent away` takes their part
+                if t & BIT["EXCLUDE"] and p > g and not denied and not (g and tags[g - 1] & BIT["NOT"]):
                     firm = not read[p].words & _NEED_PARTICLE or any(read[k].words & _PARTICLES for k in range(p + 1, min(n, p + 4)))
                     if firm and (p == g + 1 or any(x & BIT["MODAL"] for x in between) or read[p].words & {"raus", "fuera", "echen", "fuori", "degagent", "degager", "dehors", "fora"}):
                         worst = max(worst, 1.2)

@@ -47,14 +47,14 @@ LEXICON = {
     "WEAK": "clown+s fool+s pig+s rat+s cow+s dog+s snake+s swine worm+s animal+s monkey+s ape+s donkey coward+s freak+s creep+s trash scum garbage filth schwein schweine sau dreck abschaum mull cochon+s porc+s ordure dechet cerdo+s cerda perro basura escoria maiale+s vacca porco porca feccia lixo mierda merde merda merdas burro σκουπιδι γουρουνι",
     "SCORN": "stupid dumb ugly filthy worthless useless pathetic lying disgusting miserable braindead brainless dirty fucking rotten lazy fat deaf-eared clueless hopeless wertlos wertloser wertloses dumm dumme dummes blode hasslich sale inutile inutil stupide miserabile asqueroso asquerosa estupida estupido nojento nojenta burra ridiculous idiotic moronic repulsive revolting ηλιθιο αχρηστε αχρηστοσ",
     "SLUR": "nigger+s nigga+s faggot+s fag+s kike+s wetback+s raghead+s towelhead+s gook+s chinaman tranny trannies shemale+s paki+s kanake+n neger bougnoule+s negrata+s youpin sudaca+s maricon+es frocio froci ricchione viado+s sapatao jewboy zipperhead",
-    "GROUP": "girls foreigner+s immigrant+s refugee+s migrant+s gays lesbians jew+s muslim+s arab+s mexican+s gypsies homosexuals auslander frauen juden fluchtlinge schwule turken muslime etrangers femmes arabes juifs immigres musulmans noirs mujeres inmigrantes extranjeros negros judios gitanos donne stranieri immigrati ebrei musulmani zingari mulheres imigrantes estrangeiros judeus pretos women γυναικεσ ξενοι μεταναστεσ εβραιοι",
+    "GROUP": "believer+s worshipper+s girls foreigner+s immigrant+s refugee+s migrant+s gays lesbians jew+s muslim+s arab+s mexican+s gypsies homosexuals auslander frauen juden fluchtlinge schwule turken muslime etrangers femmes arabes juifs immigres musulmans noirs mujeres inmigrantes extranjeros negros judios gitanos donne stranieri immigrati ebrei musulmani zingari mulheres imigrantes estrangeiros judeus pretos women γυναικεσ ξενοι μεταναστεσ εβραιοι",
     "MIXED": "woman blind deaf blacks asians christians",
     "KIND": "gay trans black white brown asian arab jewish muslim old poor disabled religious lesbian homeless foreign queer fat autistic immigrant",
     "FOLK": "people listener+s engineer+s participant+s women men folk folks musician+s girls boys person+s workers kids man woman",
     "THEM": "them they all their these those alle tous todos tutti ολουσ",
     "VILE": "vermin cockroach+es parasite+s subhuman+s thieves criminals savages animals rapists terrorists plague disease gesindel ungeziefer parasiten pack verbrecher parasitas parassiti plaga praga untermenschen vermine racaille ladri ladrones ladroes escoria feccia scum pigs rats apes monkeys trash filth παρασιτα κλεφτεσ",
     "DEGRADE": "stupid dumb lazy inferior stink stinks dirty filthy disgusting breed steal worthless useless burden diseased primitive violent weak sick retarded brainless disease diseases uncivilized dumm minderwertig inferieurs inferiores inferiori stupides estupidas ignorant untermenschlich κατωτεροι",
-    "EXCLUDE": "wiped locked kept thrown deported banned gassed shot killed hanged sterilised sterilized removed eliminated exterminated raus raushalten fuera echen fuori degagent degager dehors fora expulsados abgeschoben silenced burned out back home off away εξω",
+    "EXCLUDE": "wiped locked kept thrown deported banned gassed shot killed hanged sterilised sterilized removed eliminated exterminated raus raushalten fuera echen fuori degagent degager dehors fora expulsados abgeschoben silenced burned εξω",
     "RUIN": "ruin+s ruined destroy+s destroyed poison+s infest+s invade+s rotting spoil+s spoiled dying worse collapse wreck+s zerstoren ruinieren rot",
     "EXPLICIT": "horny pussy pussies tits titties nipple+s nudes blowjob+s dildo+s handjob+s cumshot+s boobs threesome gangbang ficken fickst durchficken muschi titten follarte follar follando polla scopare scoparti scopami buceta chupartela wichsen bumsen enculer γαμησω γαμησουμε βυζια",
     "INTIMATE": "tits breast+s ass butt panties nipple+s cock dick thighs crotch bra groin naked nackt nackten nue nu desnuda desnudo nuda pelada clit balls vagina penis clitoris erection orgasm+s",
