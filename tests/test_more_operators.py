@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonelake.functions import numeric, text
-from tonelake.operators import combos, excerpts, nested, pools, responses, signals, summaries, vectors
+from tonelake.operators import combos, excerpts, nested, pools, ranking, responses, signals, summaries, vectors
 from tonelake.sources import files, packages, tables
 
 
@@ -453,6 +453,40 @@ def test_wave_files(tmp_path):
     assert len(up) == 6000 and np.abs(up[300:-300] - np.sin(2 * np.pi * 200 * np.arange(6000) / 12_000)[300:-300]).max() < 0.01
 
 
+def test_distributed_row_numbers(spark):
+    rng = random.Random(8)
+    rows = [("hot", rng.randrange(500) / 10) for _ in range(3000)] + [(f"g{k % 40}", float(k)) for k in range(200)] + [(None, 1.0), ("hot", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for parts in ("3", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {}
+            for r in ranking.numbered(df, "g", ["v"]).collect():
+                got.setdefault(r.g, []).append((r.row, r.v, r.rows))
+            q = {(r.g, r.share): r["quantile"] for r in ranking.exact_quantiles(df, "g", "v", [0.0, 0.1, 0.5, 1.0]).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert None not in got and len(got) == 41
+        for g, found in got.items():
+            values = sorted(v for k, v in rows if k == g)
+            assert [(i, v) for i, v, _ in sorted(found)] == list(enumerate(values, 1)) and {n for _, _, n in found} == {len(values)}
+            assert all(abs(q[g, p] - np.quantile(values, p)) < 1e-9 for p in (0.0, 0.1, 0.5, 1.0))
+    assert ranking.numbered(df.limit(0), "g", ["v"]).count() == 0
+
+
+def test_small_sinks_and_scans(spark, tmp_path):
+    files.write_report({"b": 1, "a": [None, "é"]}, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text(encoding="utf-8")) == {"a": [None, "é"], "b": 1}
+    assert files.read_json(spark, str(tmp_path / "r.json"), "a array<string>, b int").first().b == 1
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")
+    assert files.markdown_table(df).splitlines() == ["| k | v |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |"]
+    with pytest.raises(ValueError):
+        files.markdown_table(df, 1)
+    assert abs(spark.range(1).select(numeric.decibels(F.lit(0.1)).alias("x")).first().x + 20) < 1e-9
+    assert spark.range(1).select(numeric.decibels(F.lit(0.0)).alias("x")).first().x == -240
+
+
 # joins and lineage
 
 

@@ -36,4 +36,4 @@ def test_every_sql_has_a_query():
 
 
 def test_spearman_pairs_of_all_scalars(spark):
-    assert QUERIES["spearman_pairs_all"](spark, DATA).select("x", "y").distinct().count() == 28
+    assert QUERIES["spearman_pairs"](spark, DATA).select("x", "y").distinct().count() == 28

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions.numeric import is_finite
+from tonelake.operators import ranking
 from tonelake.operators.ratings import average_rank
 
 
@@ -71,8 +72,9 @@ def spearman_pairs(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Adds `bin` (1..): right-closed bins between the column's exact percentiles, the lowest value included."""
-    edges = df.agg(F.percentile(value, F.array(*(F.lit(s) for s in shares))).alias("_edges"))  # one row
+    """Adds `bin` (1..): right-closed bins between the column's exact percentiles, the lowest value included. Percentiles come from distributed row numbers."""
+    q = ranking.exact_quantiles(df.select(F.lit(1).alias("_one"), value), "_one", value, shares)
+    edges = q.agg(F.collect_list("quantile").alias("_edges"))  # one row of a few numbers
     out = df.join(F.broadcast(edges))
     above = F.size(F.filter("_edges", lambda e: F.col(value) > e))
     return out.withColumn("bin", F.when(F.col(value).isNotNull(), above + 1)).drop("_edges")
@@ -109,12 +111,10 @@ def winner_probability(draws: DataFrame, group: str, draw: str, item: str, value
 
 def narrowest_interval(df: DataFrame, group: str, value: str, share: float = 0.94) -> DataFrame:
     """(group, n, low, high): the narrowest window that holds floor(share n) + 1 of the sorted values; ties to the lowest."""
-    g = W.partitionBy(group)
-    x = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
-    numbered = x.withColumn("_i", F.row_number().over(g.orderBy("_v"))).withColumn("_n", F.count(F.lit(1)).over(g))
-    low = numbered.withColumn("_k", F.floor(F.lit(share) * F.col("_n")).cast("int")).select(group, "_n", "_k", "_i", F.col("_v").alias("low"))
-    high = numbered.select(F.col(group).alias("_g"), F.col("_i").alias("_j"), F.col("_v").alias("high"))
-    pairs = low.join(high, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_j") == F.col("_i") + F.col("_k")))
+    numbered = ranking.numbered(df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v")), group, ["_v"])
+    low = numbered.select(group, F.col("rows").alias("_n"), F.floor(F.lit(share) * F.col("rows")).cast("int").alias("_k"), F.col("row").alias("_i"), F.col("_v").alias("low"))
+    high = numbered.select(F.col(group).alias("_g"), F.col("row").alias("_j"), F.col("_v").alias("high"))
+    pairs = low.join(high, (F.col(group) == F.col("_g")) & (F.col("_j") == F.col("_i") + F.col("_k")))
     return pairs.groupBy(group).agg(F.max("_n").alias("n"), F.min(F.struct((F.round(F.col("high") - F.col("low"), 12)).alias("w"), "low", "high")).alias("b")).select(group, "n", "b.low", "b.high")
 
 

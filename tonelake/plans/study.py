@@ -57,10 +57,6 @@ def pearson_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(preferences.spearman_pairs(table(spark, d, "features").where("song_id is not null"), SCALARS[:4], "song_id"))
-
-
-def spearman_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of the scalar features, over the rows that have them all."""
     return rounded(preferences.spearman_pairs(table(spark, d, "features").where("song_id is not null"), SCALARS, "song_id"))
 
@@ -292,7 +288,7 @@ def simulated_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    winner_with_ties, joint_winners, derived_preference, pivot_counts, pivot_mean, level_grid, histogram_bins, pearson_pairs, spearman_pairs, spearman_pairs_all, quartile_bins, lag_changes, adequacy_rules, minimum_passing, winner_probability, narrowest_interval, tail_interval,
+    winner_with_ties, joint_winners, derived_preference, pivot_counts, pivot_mean, level_grid, histogram_bins, pearson_pairs, spearman_pairs, quartile_bins, lag_changes, adequacy_rules, minimum_passing, winner_probability, narrowest_interval, tail_interval,
     recovery_metrics, variance_ratio, metric_summary, interval_coverage, common_overlap, greedy_separated_topk, lag_correlation, lag_estimate, edge_grade, rolling_rise, signal_levels, signal_shapes, signal_fingerprints, envelopes, flatten_json, json_issue_log,
     issue_counts, trial_metadata, first_appearance, feature_quality_checks, repeated_vectors, ambiguous_mapping, population_gaps, compare_tolerance, design_blocks, sticky_assignment, scenario_grid, simulated_ratings)}
 
@@ -346,8 +342,7 @@ SQL = {
       FROM a CROSS JOIN b LEFT JOIN e USING (experiment_id, mixer_institution_code) GROUP BY 1, 2""",
     "histogram_bins": "SELECT (CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 21 ELSE floor(o_totalprice / 25000) + 1 END)::INTEGER AS bin, count(*) AS rows FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1",
     "pearson_pairs": _pairs(MEASURES, "lineitem"),
-    "spearman_pairs": "WITH f AS (SELECT * FROM features WHERE song_id IS NOT NULL AND " + " AND ".join(f"isfinite({c})" for c in SCALARS[:4]) + "), k AS (SELECT song_id, " + ", ".join(f"rank() OVER (PARTITION BY song_id ORDER BY {c}) + (count(*) OVER (PARTITION BY song_id, {c}) - 1) / 2.0 AS {c}" for c in SCALARS[:4]) + " FROM f) " + _pairs(SCALARS[:4], "k", "song_id"),
-    "spearman_pairs_all": "WITH f AS (SELECT * FROM features WHERE song_id IS NOT NULL AND " + " AND ".join(f"isfinite({c})" for c in SCALARS) + "), k AS (SELECT song_id, " + ", ".join(f"rank() OVER (PARTITION BY song_id ORDER BY {c}) + (count(*) OVER (PARTITION BY song_id, {c}) - 1) / 2.0 AS {c}" for c in SCALARS) + " FROM f) " + _pairs(SCALARS, "k", "song_id"),
+    "spearman_pairs": "WITH f AS (SELECT * FROM features WHERE song_id IS NOT NULL AND " + " AND ".join(f"isfinite({c})" for c in SCALARS) + "), k AS (SELECT song_id, " + ", ".join(f"rank() OVER (PARTITION BY song_id ORDER BY {c}) + (count(*) OVER (PARTITION BY song_id, {c}) - 1) / 2.0 AS {c}" for c in SCALARS) + " FROM f) " + _pairs(SCALARS, "k", "song_id"),
     "quartile_bins": "SELECT p_partkey, CASE WHEN p_retailprice IS NOT NULL THEN 1 + (p_retailprice > q[1])::INT + (p_retailprice > q[2])::INT + (p_retailprice > q[3])::INT END AS bin FROM part, (SELECT quantile_cont(p_retailprice, [0.25, 0.5, 0.75]) AS q FROM part)",
     "lag_changes": f"WITH {_MONTHLY} SELECT month, n, {_r('mean', 'mean')}, {_r('sd', 'sd')}, {_r('se', 'se')}, n - lag(n) OVER o AS n_change, {_r('mean - lag(mean) OVER o', 'mean_change')}, {_r('sd - lag(sd) OVER o', 'sd_change')} FROM m WINDOW o AS (ORDER BY month)",
     "adequacy_rules": f"WITH {_MONTHLY} SELECT month, n, {_r('se', 'se')}, {_r('sd', 'sd')}, coalesce(m.se <= 0.02, false) AND n >= 100 AND coalesce(m.sd <= 0.3, false) AS passes FROM m",
