@@ -19,13 +19,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.functions.numeric import is_finite
-from tonelake.sources.tables import bounded
+from tonelake.sources.tables import BROADCAST_ROWS, bounded, cut, release
 
 #: Right shifts of the digits, most significant first; each digit has 16 bits.
 SHIFTS = (48, 32, 16, 0)
@@ -94,18 +93,22 @@ def percentiles(df: DataFrame, by: list[str], measures: list[str], ps: list[floa
     rows = ordered_values(df, by, measures, low, high)
     groups = [*by, "measure"]
     targets = _targets(_with_ranks(digit_counts(rows, groups), groups), ps, *groups, F.col("total").alias("of"), F.col("digit").alias("prefix"))
+    written: DataFrame | None = None
     for above, shift in zip(SHIFTS, SHIFTS[1:]):
-        followed, _ = bounded(targets)
-        prefixes = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix"))).distinct()
-        prefixes = F.broadcast(prefixes) if followed._small else prefixes
+        # written, so that a round's plan does not hold the rounds before; a row has a fixed width of about a hundred bytes
+        followed = cut(targets)
+        hint = F.broadcast if followed.count() <= BROADCAST_ROWS else lambda x: x
+        prefixes = hint(followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix"))).distinct())
         prefixed = rows.withColumn("prefix", F.shiftright("key", above))
         # only rows in followed cells go on to the next digit
-        rows = prefixed.join(prefixes, _same(prefixed, prefixes, [*groups, "prefix"])).select(*groups, "key").persist(StorageLevel.MEMORY_AND_DISK)
+        rows = cut(prefixed.join(prefixes, _same(prefixed, prefixes, [*groups, "prefix"])).select(*groups, "key"))
+        release(written)
+        written = rows
         cells = rows.groupBy(*groups, F.shiftright("key", above).alias("prefix"), F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         counted = _with_ranks(cells, [*groups, "prefix"])
-        goal = followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix")), "p", "of", "rest")
+        goal = hint(followed.select(*(F.col(c).alias(f"_{c}") for c in (*groups, "prefix")), "p", "of", "rest"))
         targets = (
-            counted.join(F.broadcast(goal) if followed._small else goal, _same(counted, goal, [*groups, "prefix"]))
+            counted.join(goal, _same(counted, goal, [*groups, "prefix"]))
             .where((F.col("rest") > F.col("below")) & (F.col("rest") <= F.col("below") + F.col("n")))
             .select(*groups, "p", "of", (F.shiftleft("prefix", 16) + F.col("digit")).alias("prefix"), (F.col("rest") - F.col("below")).alias("rest"))
         )
