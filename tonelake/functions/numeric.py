@@ -31,11 +31,6 @@ def parse_double(c: Column, default: float | None = None) -> Column:
     return x if default is None else F.coalesce(x, F.lit(float(default)))
 
 
-def half_up(c: Column, digits: int = 6) -> Column:
-    """Rounded half away from zero, without a negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
-
-
 def bound(value: Column, f) -> Column:
     """f(value) with the value computed once: inside a lambda over an array, a plain expression would be computed per element."""
     return F.element_at(F.transform(F.array(value), f), 1)

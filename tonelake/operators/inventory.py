@@ -11,11 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in `order` (which must be total)."""
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
-
-
 def join_status(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """`facts` with the columns of each dimension and `join_status`: matched, or missing_ and the names of those without a partner.
 
