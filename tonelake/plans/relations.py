@@ -87,7 +87,14 @@ _r = lambda e, n: f"round({e} + 1e-10, 6) + 0.0 AS {n}"
 _SETS = "s AS (SELECT selection_id, excerpt_id, method, list_distinct(list_transform(string_split(mix_ids, '|'), lambda x: trim(x, ' '))) AS mixes FROM selection_method_comparison WHERE excerpt_id IS NOT NULL AND mix_ids IS NOT NULL)"
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM features WHERE isfinite({a}) AND isfinite({b})" for i, a in enumerate(SCALARS) for b in SCALARS[i + 1 :])
 
+_VIF = ["rms_mean", "crest_factor_mean", "stereo_width", "stereo_imbalance"]
+# the inverse of a correlation matrix of four columns has minors of three over the determinant on its diagonal
+_R = ", ".join(f"corr({_VIF[i]}, {_VIF[j]}) AS {n}" for n, (i, j) in zip("abcdef", ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))))
+_DET = "1 - a*a - b*b - c*c - d*d - e*e - f*f + 2*a*b*d + 2*a*c*e + 2*b*c*f + 2*d*e*f + a*a*f*f + b*b*e*e + c*c*d*d - 2*a*b*e*f - 2*a*c*d*f - 2*b*c*d*e"
+
 SQL = {
+    "variance_inflation": f"WITH r AS (SELECT {_R} FROM features WHERE {' AND '.join(f'isfinite({c})' for c in _VIF)}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round((1 + 2*{x}*{y}*{z} - {x}*{x} - {y}*{y} - {z}*{z}) / ({_DET}) + 1e-10, 6) + 0.0 AS vif FROM r" for c, (x, y, z) in zip(_VIF, ("def", "bcf", "ace", "abd"))),
     "latest_evaluations": "SELECT evaluation_id, participant_id, mix_id, received_at FROM evaluations WHERE evaluation_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evaluation_id ORDER BY received_at DESC NULLS LAST, participant_id DESC NULLS LAST, mix_id DESC NULLS LAST) = 1",
     "response_durations": "SELECT response_row_id, CASE WHEN epoch_ms(completed_at) >= epoch_ms(started_at) THEN epoch_ms(completed_at) - epoch_ms(started_at) END AS duration_ms FROM responses_long",
     "disjunctive_match": """WITH a AS (SELECT stimulus_id AS k, min(excerpt_id) AS v FROM stimuli GROUP BY 1), b AS (SELECT mix_id AS k, min(excerpt_id) AS v FROM stimuli GROUP BY 1), c AS (SELECT audio_path AS k, min(excerpt_id) AS v FROM stimuli GROUP BY 1)

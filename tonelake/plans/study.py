@@ -365,6 +365,9 @@ SQL = {
       SELECT event_type, {_r('max(a)', 'start')}, {_r('min(b)', '"end"')}, {_r('greatest(0, min(b) - max(a))', 'length')} FROM u GROUP BY 1""",
     "json_issue_log": f"WITH {_RESPONSE_CELLS}, {_ISSUE_LOG} SELECT submission_row_id, path, code, field FROM log",
     "issue_counts": f"WITH {_RESPONSE_CELLS}, {_ISSUE_LOG} SELECT code, count(*) AS issues, count(DISTINCT submission_row_id) AS submissions FROM log GROUP BY 1",
+    "greedy_separated_topk": "WITH c AS (SELECT * FROM (SELECT event_type AS grp, floor(epoch_us(ts) / 3600000000)::DOUBLE AS h, avg(value) AS score FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2) WHERE score IS NOT NULL), a0 AS (SELECT grp, h, score, 0 AS position FROM c WHERE false), "
+    + ", ".join(f"a{k} AS (SELECT * FROM a{k - 1} UNION ALL SELECT * FROM (SELECT grp, h, score, {k} AS position FROM c WHERE NOT EXISTS (SELECT 1 FROM a{k - 1} a WHERE a.grp = c.grp AND abs(a.h - c.h) < 24) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, h) = 1))" for k in range(1, 6))
+    + ' SELECT grp, round(h + 1e-10, 6) + 0.0 AS "at", round(score + 1e-10, 6) + 0.0 AS score, position FROM a5',
     "signal_fingerprints": "WITH b AS (SELECT feature_row_id, bark FROM features WHERE len(bark) = 48) SELECT feature_row_id, sha1(array_to_string(list_transform(range(0, 8), lambda k: printf('%.5f', sqrt(list_sum(list_transform(bark[k * 6 + 1 : k * 6 + 6], lambda v: v * v)) / 6))), ',')) AS fingerprint FROM b",
     "lag_correlation": f"WITH {_LAGS} SELECT lag, n, {_r('r', 'r')} FROM lags",
     "lag_estimate": f"""WITH {_LAGS}, b AS (SELECT lag AS best_lag, r AS best_r FROM lags ORDER BY r DESC, lag LIMIT 1), s AS (SELECT max(r) AS second_r FROM lags, b WHERE abs(lag - best_lag) > 1)
