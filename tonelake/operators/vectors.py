@@ -77,7 +77,9 @@ def edges(pool: DataFrame, metric=euclidean) -> DataFrame:
 
 
 def both_ways(e: DataFrame) -> DataFrame:
-    return e.unionByName(e.select("grp", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    """Each edge in both directions, from one pass over the edges."""
+    turned = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    return e.select("grp", F.inline(F.array(F.struct("i", "j"), turned)), "d")
 
 
 def medoids(e: DataFrame, digits: int = 9) -> DataFrame:
@@ -105,8 +107,10 @@ def outlier_scores(scaled: DataFrame) -> DataFrame:
     """(grp, member, largest, from_centre, from_medoid, score): greatest |coordinate|, distance to the median vector and to the medoid, both over the group's positive medians (1 where none)."""
     e = edges(scaled)
     centre = _long(scaled).groupBy("grp", "dim").agg(F.percentile("v", F.lit(0.5)).alias("m")).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centre"))
-    m = medoids(e)
-    to_medoid = both_ways(e).join(m.select("grp", F.col("medoid").alias("j")), ["grp", "j"]).select("grp", F.col("i").alias("idx"), F.col("d").alias("to_medoid"))
+    # each member holds its distances, so the medoid is found and looked up in one pass over the edges
+    own = both_ways(e).groupBy("grp", "i").agg(F.round(F.sum("d"), 9).alias("total"), F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("to"))
+    medoid = F.min(F.struct("total", "i")).over(W.partitionBy("grp"))["i"]
+    to_medoid = own.select("grp", F.col("i").alias("idx"), F.when(F.col("i") != medoid, F.col("to")[medoid]).alias("to_medoid"))
     g = W.partitionBy("grp")
     positive = lambda c: F.coalesce(F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(0.5)).over(g), F.lit(1.0))
     out = scaled.join(centre, "grp").join(to_medoid, ["grp", "idx"], "left").select("grp", "member", F.aggregate("x", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v))).alias("largest"), euclidean(F.col("x"), F.col("centre")).alias("_c"), F.coalesce("to_medoid", F.lit(0.0)).alias("_m"))
